@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id, ngram_join, packing
+from tessera.llm import language_id, ngram_join, packing, secret_scan
 from tessera.llm.common import documents, shared_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,11 +31,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
 
 
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every finding is replaced in its text and n_chars follows; all documents stay."""
+    masked = secret_scan.mask(docs.select(*COLUMNS))
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("language_id", keep_languages), ("ngram_join", drop_near_copies), ("packing", pack)]
+STAGES = [("language_id", keep_languages), ("ngram_join", drop_near_copies), ("secret_scan", mask_secrets), ("packing", pack)]
 
 #: PPM code lengths and packing can't be put in SQL; tests/llm holds run() against brute force instead.
 ORACLE_SQL = None
