@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import shared_table
 
 
+#: Up to so many links are handled by one task a step, which saves the exchanges.
+ONE_TASK = 200_000
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
@@ -35,7 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = shared_table(edges.where("u <> v").distinct(), "links")
     before = _sum(edges)
     while True:
-        edges = shared_table(_star(_star(edges, True), False), "links")
+        near = edges.coalesce(1) if before[0] <= ONE_TASK else edges
+        edges = shared_table(_star(_star(near, True), False), "links")
         now = _sum(edges)
         if now == before:
             break

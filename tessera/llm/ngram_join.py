@@ -15,10 +15,13 @@ next band if a set that it could link with lies there, so each such pair meets i
 - The groups come in a front and a back half; features that many documents hold (from counts over all documents) fall
   in the back half, so that passages which documents share make few candidates. This order changes no result.
 
-Candidates are sets that share a signature. First each set is held against one set, the smallest that any of its
-signatures is shared with; links are merged into components; then all pairs with a signature in common that are in
-different components are compared. Comparisons use the exact intersection, so every link between components is found.
-All groups stay in tables of the shared folder; the driver gets counts only.
+Candidates are sets that share a signature. First each set is held against one set only: of those that share a
+signature with it, one that shares signatures most widely, so a group of near copies gathers around its middle. Links
+are merged into components. Then pairs with a signature in common that are in different components are left; each set
+has a parity bitmap (a bit flips for each feature that hashes there), two bitmaps differ in no more bits than the sets
+in features, and the join that pairs them lets only those through that may still link. What comes through is compared
+by the exact intersection, so every link between components is found, and pairs within one are never made. All groups
+stay in tables of the shared folder; the driver gets counts only.
 
 Nulls and edges: a null or word-free text has an empty set and links with nothing (its component is its own id); a
 document of fewer than `width` words has one shingle; rows with equal ids each follow their own text; a null id stays
@@ -48,6 +51,8 @@ FREQUENT = 100_000
 #: Up to so many ids (8 MB) are broadcast to fetch sets by id; beyond it, a shuffle join is used.
 BROADCAST_IDS = 1_000_000
 SEEN = 200_000
+#: 64-bit words of a parity bitmap.
+BITMAP = 8
 
 
 class Scheme:
@@ -164,20 +169,28 @@ def _signatures(df: DataFrame, width: int, num: int, den: int, frequent: np.ndar
     return df.mapInArrow(run, "sig long, node long, n int")
 
 
-def _fetch(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(node, features) of every set in pairs."""
-    nodes = pairs.select(F.col("a").alias("d1")).unionAll(pairs.select(F.col("b").alias("d1"))).distinct()
-    ids = shared_table(classes.join(nodes, "d1").select("doc_id", "d1"), "candidates")
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """Parity, by bit, of how many features hash there."""
+    bits = np.bincount((s & U(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _fetch(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, features, bits0, bits1, ...) of every set of nodes."""
+    ids = shared_table(classes.join(nodes.select(F.col("node").alias("d1")), "d1").select("doc_id", "d1"), "candidates")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.join(wanted, docs[docs.columns[0]] == ids["doc_id"]).select("d1", docs[docs.columns[1]])
+    texts = docs.join(wanted, docs["id"] == ids["doc_id"]).select("d1", "text")
+    bits = [f"bits{k}" for k in range(BITMAP)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sets = batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), width)
-            own = [(node, s.tobytes()) for node, s in zip(nodes, sets, strict=True) if digest(s)[0] == node]  # ids can repeat
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.binary())], ["node", "features"])
+            own = [(node, s) for node, s in zip(nodes, sets, strict=True) if digest(s)[0] == node]  # ids can repeat
+            maps = np.array([_bitmap(s) for _, s in own], np.int64).reshape(-1, BITMAP)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary()), *map(pa.array, maps.T)], ["node", "features", *bits])
 
-    return shared_table(texts.mapInArrow(run, "node long, features binary").dropDuplicates(["node"]), "features")
+    found = texts.mapInArrow(run, f"node long, features binary, {', '.join(f'{b} long' for b in bits)}")
+    return shared_table(found.dropDuplicates(["node"]), "features")
 
 
 def _linked(pairs: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
@@ -210,20 +223,34 @@ def join(df: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH, id_c
 
     by_sig = W.partitionBy("sig")
     met = _signatures(docs, width, num, den, frequent).withColumns({"lo": F.min("node").over(by_sig), "hi": F.max("node").over(by_sig)})
-    buckets = shared_table(met.where("lo <> hi").select("sig", "node", "n", "lo"), "buckets")
-
-    first = shared_table(buckets.where("node <> lo").groupBy("node").agg(F.min("lo").alias("a")).select("a", F.col("node").alias("b")), "pairs")
-    links = shared_table(_linked(first, _fetch(docs, classes, first, width), num, den), "linked")
+    buckets = shared_table(met.where("lo <> hi").select("sig", "node", "n"), "buckets")
+
+    wide = shared_table(buckets.groupBy("node").agg(F.count(F.lit(1)).alias("deg")), "nodes")
+    ranked = buckets.join(wide, "node").select("sig", F.struct("deg", "node").alias("own"))
+    tops = ranked.withColumn("top", F.max("own").over(by_sig)).where("own <> top")
+    first = shared_table(tops.groupBy(F.col("own.node").alias("b")).agg(F.max("top").alias("top")).select(F.col("top.node").alias("a"), "b"), "pairs")
+    features = _fetch(docs, classes, wide, width)
+    links = shared_table(_linked(first, features, num, den), "linked")
     comps = components(links)
-    placed = buckets.select("sig", "node", "n").distinct().join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    placed = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     spread = placed.withColumns({"lo": F.min("comp").over(by_sig), "hi": F.max("comp").over(by_sig)}).where("lo <> hi").drop("lo", "hi")
     spread = shared_table(spread, "spread")
-    a, b = (spread.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp"))) for x in "ab")
-    fits = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-    rest = a.join(b, (a["sig"] == b["sig"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    rest = shared_table(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    bits = [f"bits{k}" for k in range(BITMAP)]
+    mapped = spread.join(features.select("node", *bits), "node")
+    a, b = (mapped.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", *bits))) for x in "ab")
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits[1:]), F.bit_count(F.col("bits0_a").bitwiseXOR(F.col("bits0_b"))))
+    may = (
+        (F.col("node_a") < F.col("node_b"))
+        & (F.col("comp_a") != F.col("comp_b"))
+        & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+        & ((den + num) * apart <= (den - num) * (F.col("n_a") + F.col("n_b")))
+    )
+    rest = a.join(b, (a["sig"] == b["sig"]) & may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = shared_table(rest.join(done, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        links = links.unionAll(_linked(rest, _fetch(docs, classes, rest, width), num, den))
+        links = links.unionAll(_linked(rest, features, num, den))
         comps = components(links)
 
     named = classes.join(comps, classes["d1"] == comps["node"], "left").select("d1", "d2", "doc_id", F.coalesce("comp", "d1").alias("comp"))
