@@ -172,7 +172,8 @@ class Plan:
             elif part.fn == "raw":
                 self.raw = part.args[0]
             else:
-                self.df = self.df.where(self.compile(part))
+                test = self.compile(part)  # may add joins to self.df
+                self.df = self.df.where(test)
         return self
 
     # --- expressions ---
