@@ -75,7 +75,8 @@ def train(samples: dict[str, list[str]], order: int = ORDER) -> Model:
     parent, last, depth, counts = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros((1, n_lang))]
     at, total, inner = np.zeros(len(data), np.int64), 1, 1
     for d in range(1, order + 2):
-        back = np.concatenate([np.zeros(d - 1, np.int64), own[: len(own) - d + 1]])
+        back = np.zeros_like(own)
+        back[d - 1 :] = own[: max(len(own) - d + 1, 0)]
         ok = (back > 0) & ((at > 0) | (d == 1))
         keys, inverse = np.unique(at[ok] * width + back[ok], return_inverse=True)
         inner = total

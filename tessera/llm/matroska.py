@@ -285,7 +285,7 @@ def mux(payload: bytes, frame: int = FRAME, rate: int = SAMPLE_RATE, lacing: int
         body = [number(TIMESTAMP, base)]
         for k in range(c, min(c + FRAMES_A_BLOCK * BLOCKS_A_CLUSTER, len(frames)), each):
             group = frames[k : k + each]
-            kind = lacing if len(group) > 1 else NO_LACING
+            kind = NO_LACING if len(group) == 1 else EBML_LACING if lacing == FIXED and len(group[-1]) < frame else lacing
             body.append(element(SIMPLE_BLOCK, b"\x81", struct.pack(">hB", k * step - base, 0x80 | kind << 1), lace(group, kind)))
         parts.append(element(CLUSTER, *body))
         cues.append(element(CUE_POINT, number(CUE_TIME, base), element(CUE_PLACES, number(CUE_TRACK, 1), number(CUE_CLUSTER, at))))
