@@ -185,7 +185,7 @@ def plan_delete(store: Store, entity: str, keys: DataFrame, max_depth: int = 16)
                 if not r.inverse_fk:
                     continue
                 target = store.entity(r.target)
-                refs = store.table(r.target).join(gone, F.col(r.inverse_fk) == F.col("pk"), "left_semi").select(F.col(target.key).alias("pk")).distinct()
+                refs = store.table(r.target).join(gone.toDF("_gone"), F.col(r.inverse_fk) == F.col("_gone"), "left_semi").select(F.col(target.key).alias("pk")).distinct()
                 if r.delete_rule == "deny" and not refs.isEmpty():
                     raise DeleteDenied(f"{name}.{r.name} still has rows")
                 if r.delete_rule == "cascade":
@@ -212,7 +212,7 @@ def apply_delete(store: Store, d: Deletion) -> dict[str, DataFrame]:
     for name, gone in d.removed.items():
         for n in (name, *store.catalog.ancestors(name), *store.catalog.descendants(name)):
             e = store.entity(n)
-            tables[e.table] = at(e.table).join(gone, F.col(e.key) == F.col("pk"), "left_anti")
+            tables[e.table] = at(e.table).join(gone.toDF("_gone"), F.col(e.key) == F.col("_gone"), "left_anti")
     return tables
 
 
@@ -225,7 +225,7 @@ def delete_where(store: Store, entity: str, condition: Column) -> tuple[dict[str
     for name, gone in d.removed.items():
         o = store.entity(name)
         keep = [a.name for a in o.attributes if a.preserve]
-        rows = store.table(name).join(gone, F.col(o.key) == F.col("pk"), "left_semi")
+        rows = store.table(name).join(gone.toDF("_gone"), F.col(o.key) == F.col("_gone"), "left_semi")
         logs.append(rows.select(F.lit("delete").alias("event"), F.lit(name).alias("entity_name"), F.col(o.key).cast("string").alias("entity_pk"), F.lit(",".join(keep) or None).cast("string").alias("property_names"), preserved(keep).alias("preserved_values")))
     return apply_delete(store, d), reduce(DataFrame.unionAll, logs)
 

@@ -75,6 +75,6 @@ def relocate_out(df: DataFrame, key: str, column: str, folder: str) -> DataFrame
 
 def relocate_in(df: DataFrame, key: str, column: str, folder: str) -> DataFrame:
     """Takes the values of a side table back into the column."""
-    side = df.sparkSession.read.parquet(folder).withColumnRenamed("value", "_value")
+    side = df.sparkSession.read.parquet(folder).toDF("_pk", "_value")
     columns = df.columns
-    return df.join(side, df[key].cast("string") == side["pk"], "left").withColumn(column, F.col("_value")).select(columns)
+    return df.join(side, F.col(key).cast("string") == F.col("_pk"), "left").withColumn(column, F.col("_value")).select(columns)
