@@ -315,3 +315,24 @@ def test_predicate_edges(spark):
         n(lambda e: e.nothing == 1)
     with pytest.raises(TypeError):
         bool(Lit(1) == Lit(2))
+
+
+def test_editing_state_and_notices(spark):
+    from tessera.operators.ephemeral import EditingState, Notifier, OneAtATime
+
+    df, state = people(spark).table("Entity"), EditingState()
+    test = lambda f, v: df.where(f("Entity", F.col("pk"), "type", v, F.col("type"))).count()
+    assert test(state.equals, "general") == 2 and test(state.differs, "general") == 1
+    state.set("Entity", "1", "type", "draft")
+    assert test(state.equals, "draft") == 1 and test(state.equals, "none") == 0 and test(state.differs, "draft") == 2 and test(state.differs, "none") == 3
+    heard, n = [], Notifier()
+    stop = n.listen({"Owner"}, heard.append)
+    log = spark.createDataFrame([("insert", "Owner", "1"), ("delete", "Pet", "2")], "event string, entity_name string, entity_pk string")
+    n.saved(log)
+    stop()
+    n.saved(log)
+    assert heard == [{"Owner": {"insert": ["1"]}}]
+    runs = []
+    once = OneAtATime(lambda: runs.append(1) or (len(runs) == 1 and (once.trigger(), once.trigger())))
+    once.trigger()
+    assert len(runs) == 2
