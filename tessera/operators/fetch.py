@@ -132,7 +132,7 @@ def fetch_sectioned(store: Store, r: FetchRequest, section: Closure, limit: int
     index = heads.withColumn("_i", F.row_number().over(W.orderBy(*flips))).select(F.col("section").alias("_s"), "_i")
     total = F.max("_i").over(W.partitionBy())
     index = index.withColumn("section_index", total - F.col("_i") + 1 if reverse else F.col("_i")).drop("_i")
-    out = ranked.join(F.broadcast(index) if limit is not None else index, F.col("section").eqNullSafe(F.col("_s")))
+    out = ranked.join(index, F.col("section").eqNullSafe(F.col("_s")))
     if limit is not None:
         out = out.where(F.col("position") <= max(limit, 0))
     return out.drop("_s", *(f"_o{k}" for k in range(len(order))))

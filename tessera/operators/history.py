@@ -12,10 +12,10 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.ranks import numbered
 from tessera.functions.scalar import year_of_micros
 
 SCHEMA = "pk long, event string, entity_name string, entity_pk string, property_names string, preserved_values string, timestamp long, author string, store_identifier string"
@@ -27,11 +27,11 @@ RETENTION = 30 * DAY
 
 
 def record(changes: DataFrame, start_pk: int, timestamp: int, author: str | None, store: str) -> DataFrame:
-    """Log rows for one transaction's changes (event, entity_name, entity_pk, property_names, preserved_values)."""
-    order = W.orderBy("entity_name", "entity_pk", "event")
-    return changes.select(
-        (F.row_number().over(order) + F.lit(start_pk - 1)).cast("long").alias("pk"), "event", "entity_name", F.col("entity_pk").cast("string").alias("entity_pk"),
-        "property_names", "preserved_values", F.lit(timestamp).cast("long").alias("timestamp"), F.lit(author).cast("string").alias("author"), F.lit(store).alias("store_identifier"),
+    """Log rows for one transaction's changes (event, entity_name, entity_pk, property_names, preserved_values), numbered from start_pk."""
+    rows = numbered(changes, ["entity_name", "entity_pk", "event"], "pk", start_pk)
+    return rows.select(
+        "pk", "event", "entity_name", F.col("entity_pk").cast("string").alias("entity_pk"), "property_names", "preserved_values",
+        F.lit(timestamp).cast("long").alias("timestamp"), F.lit(author).cast("string").alias("author"), F.lit(store).alias("store_identifier"),
     )
 
 
