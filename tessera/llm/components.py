@@ -9,7 +9,7 @@ from tessera.llm.common import shared_table
 
 
 #: Up to so many links are handled by one task a step, which saves the exchanges.
-ONE_TASK = 200_000
+ONE_TASK = 1_000_000
 
 
 def _both(edges: DataFrame) -> DataFrame:

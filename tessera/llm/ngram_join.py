@@ -52,7 +52,7 @@ FREQUENT = 100_000
 BROADCAST_IDS = 1_000_000
 SEEN = 200_000
 #: 64-bit words of a parity bitmap.
-BITMAP = 8
+BITMAP = 4
 
 
 class Scheme:
@@ -183,14 +183,17 @@ def _fetch(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) ->
     bits = [f"bits{k}" for k in range(BITMAP)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()  # rows can repeat; a task returns each set once, and what tasks repeat changes nothing
         for batch in batches:
             nodes, sets = batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), width)
-            own = [(node, s) for node, s in zip(nodes, sets, strict=True) if digest(s)[0] == node]  # ids can repeat
+            own = [(node, s) for node, s in zip(nodes, sets, strict=True) if node not in met and digest(s)[0] == node]  # ids can repeat with other texts
+            own = list({node: (node, s) for node, s in own}.values())
+            met.update(node for node, _ in own)
             maps = np.array([_bitmap(s) for _, s in own], np.int64).reshape(-1, BITMAP)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary()), *map(pa.array, maps.T)], ["node", "features", *bits])
 
     found = texts.mapInArrow(run, f"node long, features binary, {', '.join(f'{b} long' for b in bits)}")
-    return shared_table(found.dropDuplicates(["node"]), "features")
+    return shared_table(found, "features")
 
 
 def _linked(pairs: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
