@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts can be long, so a batch is far smaller than Spark's default of 10,000 rows.
 BATCH_ROWS = 400
+#: A batch of long texts ends sooner, once it holds so many bytes.
+BATCH_BYTES = 16 << 20
 
 _shipped: set[str] = set()
 
@@ -39,6 +41,7 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each application, and bounds the rows of an Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         top = Path(__file__).resolve().parents[1]
