@@ -187,19 +187,25 @@ def scorer(model: Model) -> Scorer:
 def sample(df: DataFrame, text_col: str, lang_col: str, bytes_each: int) -> dict[str, list[str]]:
     """For each language the documents with the smallest hashes, up to bytes_each of text: at most that much for each language reaches the driver.
 
-    A first pass finds how much text each language has, so that the second ranks only about twice what is needed."""
+    Repeats of a text in a language count once. A first pass finds how much distinct text each language has, so that the
+    second ranks only about twice what is needed; languages whose sample isn't full then are ranked again over more."""
     rows = df.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.octet_length(text_col).alias("n"), F.xxhash64(text_col).alias("h"))
     rows = rows.where(F.col("t").isNotNull() & F.col("l").isNotNull() & (F.col("n") <= bytes_each) & F.col("t").rlike(LETTER))
-    have = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.sum("n").alias("n")).collect()}
-    if not have:
-        return {}
-    share = F.create_map(*[F.lit(x) for name, n in have.items() for x in (name, min(1.0, (2 * bytes_each + 2**20) / n))])
-    likely = rows.where((F.col("h") / F.lit(2.0**64) + 0.5) <= F.element_at(share, F.col("l")))
-    order = W.partitionBy("l").orderBy("h", "t")
-    taken = likely.withColumn("sum", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0))).where(F.col("sum") <= bytes_each)
+    have = {r["l"]: r["n"] for r in rows.select("l", "h", "n").distinct().groupBy("l").agg(F.sum("n").alias("n")).collect()}
+    shares = {name: min(1.0, (2 * bytes_each + 2**20) / n) for name, n in have.items()}
+    order = W.partitionBy("l").orderBy("h", "t").rowsBetween(W.unboundedPreceding, 0)
     out: dict[str, list[str]] = {}
-    for r in taken.select("l", "t").orderBy("l", "h").collect():
-        out.setdefault(r["l"], []).append(r["t"])
+    while shares:
+        share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+        likely = rows.where((F.col("h") / F.lit(2.0**64) + 0.5) <= F.element_at(share, F.col("l"))).distinct()
+        # the first text beyond the bound comes along: it shows that the sample is full
+        ranked = likely.withColumn("sum", F.sum("n").over(order)).where(F.col("sum") - F.col("n") < bytes_each)
+        found: dict[str, list[tuple[str, int]]] = {}
+        for r in ranked.select("l", "t", "sum").orderBy("l", "h").collect():
+            found.setdefault(r["l"], []).append((r["t"], r["sum"]))
+        full = {name for name, x in shares.items() if x == 1 or name in found and found[name][-1][1] >= bytes_each}
+        out |= {name: [t for t, total in found[name] if total <= bytes_each] for name in full & found.keys()}
+        shares = {name: min(1.0, 4 * x) for name, x in shares.items() if name not in full}
     return out
 
 

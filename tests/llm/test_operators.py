@@ -136,6 +136,26 @@ def test_language_edges(spark):
     assert language_id.with_language(df.limit(0), nothing, ["doc_id"]).count() == 0
 
 
+def sampled(spark, texts, bytes_each):
+    df = spark.createDataFrame([(t, "en", n) for t, n in texts], "text string, lang string, n int")
+    return language_id.sample(df.withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))), "text", "lang", bytes_each).get("en", [])
+
+
+def test_sample_counts_copies_once(spark):
+    few = [f"some text {k}" for k in range(9)]
+    for k in range(4):  # hashes differ, so some of the large groups would be out and some in
+        hot = f"copied {k} " * 200
+        assert sorted(sampled(spark, [(hot, 8000), *((t, 1) for t in few)], 4000)) == sorted([hot, *few])
+
+
+def test_sample_fills_when_hashes_lie_high(spark):
+    texts = spark.range(9000).select(F.concat(F.lit("text "), F.repeat(F.col("id").cast("string"), 400)).alias("t")).where(F.xxhash64("t") > 2**62)
+    own = [r["t"] for r in texts.orderBy(F.xxhash64("t")).collect()]
+    n = np.cumsum([len(t) for t in own])
+    got = sampled(spark, [(t, 2) for t in own], 9000)  # 0.75 of the range of hashes is empty
+    assert n[-1] > 3 * 2**20 and sorted(got) == sorted(own[: int((n <= 9000).sum())])
+
+
 # --- op4 ---
 
 
