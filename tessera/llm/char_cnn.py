@@ -1,13 +1,16 @@
 """A character convolutional network in numpy that tells secrets from other long tokens.
 
 The input is a candidate in the middle of its surroundings: WINDOW characters, each as a class (letters by kind and
-hex range, digits, marks) with a flag for whether it lies in the candidate. An embedding, a convolution of width KERNEL
-with ReLU, the maximum and the mean over positions, and a linear layer give a logit.
+hex range, digits, marks) with a flag for whether it lies in the candidate. A candidate too long for one window has
+several that overlap, from MARGIN characters before it to MARGIN after it, and the highest counts. An embedding, a
+convolution of width KERNEL with ReLU, the maximum and the mean over positions, and a linear layer give a logit.
 
 It is trained when it is first needed, on labelled findings that `labelled` makes from a fixed seed: tokens of the forms
 that issuers use, and harmless tokens of the same length (words, names, addresses, paths, numbers, identifiers), each
-in prose. One part is held back: on it the logits are calibrated (a scale and a shift by logistic regression), and the
-threshold is the highest one that still finds RECALL of the secrets there."""
+in prose. As many are long runs: harmless tokens joined, in one half with a secret among them or at the end, and each of
+their windows is learned by how much of the secret it holds. One part is held back: on it the logits of candidates are
+calibrated (a scale and a shift by logistic regression), and the threshold is the highest one that still finds RECALL of
+the secrets there, among the short ones and among the long ones."""
 
 from __future__ import annotations
 
@@ -18,11 +21,17 @@ from dataclasses import dataclass
 import numpy as np
 
 WINDOW = 64
+#: A candidate of more characters than FIT is seen through windows STEP apart, so a secret of up to WINDOW - STEP + 1 characters lies in one whole.
+MARGIN = 8
+FIT, STEP = WINDOW * 3 // 4, 16
 KERNEL = 5
 EMBED, FILTERS = 8, 24
 RECALL = 0.98
 EXAMPLES, STEPS, BATCH, SEED = 2400, 360, 96, 20
 
+#: Windows that are scored at once; bounds memory however long a candidate is.
+AT_ONCE = 2048
+
 CLASSES = {c: 1 + i for i, c in enumerate(string.digits[:1] + "+/_=-.:\"'@ \n,;()")}
 N_CLASSES = 26
 
@@ -46,18 +55,33 @@ def _class(c: str) -> int:
 TABLE = np.array([_class(chr(c)) for c in range(128)], np.int64)
 
 
-def window(text: str, start: int, end: int) -> np.ndarray:
-    """Classes of WINDOW characters around text[start:end], plus N_CLASSES inside it; 0 beyond the text."""
-    span = min(end - start, WINDOW * 3 // 4)
-    begin = start - (WINDOW - span) // 2
-    out = np.zeros(WINDOW, np.int64)
-    for k in range(WINDOW):
-        at = begin + k
-        if 0 <= at < len(text):
-            out[k] = _class(text[at]) + (N_CLASSES if start <= at < end else 0)
+def _codes(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = TABLE[np.minimum(points, 127)]
+    for k in np.flatnonzero(points > 127):
+        out[k] = _class(text[k])
     return out
 
 
+def _starts(start: int, end: int) -> np.ndarray:
+    """Where the windows of a candidate begin."""
+    if end - start <= FIT:
+        return np.array([start - (WINDOW - (end - start)) // 2])
+    last = end + MARGIN - WINDOW
+    return np.array([*range(start - MARGIN, last, STEP), last])
+
+
+def windows(text: str, start: int, end: int) -> np.ndarray:
+    """Rows of classes of WINDOW characters around and along text[start:end], plus N_CLASSES inside it; 0 beyond the text."""
+    at = _starts(start, end)
+    first, stop = int(at[0]), int(at[-1]) + WINDOW
+    codes = np.zeros(stop - first, np.uint8)
+    low, high = max(first, 0), min(stop, len(text))
+    codes[low - first : high - first] = _codes(text[low:high])
+    codes[start - first : end - first] += N_CLASSES
+    return np.lib.stride_tricks.sliding_window_view(codes, WINDOW)[at - first]
+
+
 # --- labelled findings --------------------------------------------------------------------------------------------
 
 WORDS = "the of and to in is on by for with this that from are was not which have has der die und ist ein nicht les des une que para los con como".split()
@@ -102,20 +126,62 @@ def _harmless(r: random.Random) -> str:
     )()
 
 
+Finding = tuple[str, int, int, int, int]
+
+
+def _in_prose(r: random.Random, token: str) -> tuple[str, int]:
+    lead = r.choice(("", "key = ", "auth: ", 'id="', "ref ", "see ", "at ", "x=")) if r.random() < 0.4 else ""
+    before = " ".join(r.choice((r.choice(WORDS), _word(r))) for _ in range(r.randint(0, 8)))
+    after = " ".join(r.choice((r.choice(WORDS), _word(r))) for _ in range(r.randint(0, 8)))
+    text = f"{before} {lead}"
+    return text + token + r.choice((" ", ".", ", ", "\n", '" ')) + after, len(text)
+
+
+def short_finding(r: random.Random) -> Finding:
+    """A text with the start and end of a candidate, and of the secret in it (equal ones: none)."""
+    good = r.random() < 0.5
+    token = _secret(r) if good else _harmless(r)
+    text, start = _in_prose(r, token)
+    return text, start, start + len(token), start, start + len(token) * good
+
+
+def long_finding(r: random.Random, good: bool | None = None, at_end: bool | None = None) -> Finding:
+    """The same for a run of harmless tokens, where the secret is at the end or among them."""
+    good = r.random() < 0.5 if good is None else good
+    at_end = r.random() < 0.6 if at_end is None else at_end
+    mark = r.choice("//-_=+")
+
+    def part() -> str:  # non-ASCII letters would end a candidate
+        return _harmless(r).translate(str.maketrans("öé", "oe"))
+
+    head = r.choice(("", "/")) + part() + mark
+    least = r.randint(FIT + MARGIN, 3 * WINDOW)
+    while len(head) < least:
+        head += part() + mark
+    secret = _secret(r) if good else ""
+    tail = "" if good and at_end else (mark if good else "") + part() + "".join(mark + part() for _ in range(r.randint(0, 3)))
+    text, start = _in_prose(r, head + secret + tail)
+    a = start + len(head)
+    return text, start, a + len(secret) + len(tail), a, a + len(secret)
+
+
 def labelled(n: int = EXAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    r, x, y = random.Random(seed), [], []
-    for _ in range(n):
-        good = r.random() < 0.5
-        token = _secret(r) if good else _harmless(r)
-        lead = r.choice(("", "key = ", "auth: ", 'id="', "ref ", "see ", "at ", "x=")) if r.random() < 0.4 else ""
-        before = " ".join(r.choice((r.choice(WORDS), _word(r))) for _ in range(r.randint(0, 8)))
-        after = " ".join(r.choice((r.choice(WORDS), _word(r))) for _ in range(r.randint(0, 8)))
-        text = f"{before} {lead}"
-        start = len(text)
-        text += token + r.choice((" ", ".", ", ", "\n", '" ')) + after
-        x.append(window(text, start, start + len(token)))
-        y.append(float(good))
-    return np.array(x), np.array(y)
+    """Of short findings, the first window of each and whether it is a secret."""
+    r = random.Random(seed)
+    own = [short_finding(r) for _ in range(n)]
+    return np.array([windows(t, a, b)[0] for t, a, b, *_ in own]), np.array([float(d > c) for *_, c, d in own])
+
+
+def parts(found: list[Finding]) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of findings, with 1 where a window holds a secret (20 characters of it at least) and 0 where it holds nothing of one; others are left out."""
+    x, y = [], []
+    for text, a, b, c, d in found:
+        w, at = windows(text, a, b), _starts(a, b)
+        held = np.clip(np.minimum(at + WINDOW, d) - np.maximum(at, c), 0, None)
+        clear = (held == 0) | (held >= min(20, max(d - c, 1)))
+        x.append(w[clear])
+        y.append((held > 0)[clear].astype(float))
+    return np.concatenate(x), np.concatenate(y)
 
 
 # --- the network --------------------------------------------------------------------------------------------------
@@ -139,10 +205,24 @@ class Net:
         return pooled @ w["out"] + w["const"], (cols, z, top, pooled)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        """Calibrated probability that the candidate is a secret."""
-        if not len(x):
+        """Calibrated probability, by window, that a secret is there."""
+        return self._calibrated(self.logits(x))
+
+    def probability_of(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Calibrated probability that a candidate with these windows is or holds a secret."""
+        return self._calibrated(self.highest(rows))
+
+    def _calibrated(self, logit: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -500, 500)))
+
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(self.forward(x[k : k + AT_ONCE])[0] for k in range(0, len(x), AT_ONCE))])
+
+    def highest(self, rows: list[np.ndarray]) -> np.ndarray:
+        """The highest logit among the windows of each candidate."""
+        if not rows:
             return np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.forward(x)[0] + self.shift, -500, 500)))
+        return np.maximum.reduceat(self.logits(np.concatenate(rows)), np.cumsum([0, *map(len, rows[:-1])]))
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         w, (logit, (cols, z, top, pooled)) = self.weights, self.forward(x)
@@ -162,9 +242,11 @@ class Net:
 
 
 def train(n: int = EXAMPLES, steps: int = STEPS, seed: int = SEED) -> Net:
-    x, y = labelled(n, seed)
+    r = random.Random(seed)
+    short, long = [short_finding(r) for _ in range(n)], [long_finding(r) for _ in range(n)]
     rng = np.random.default_rng(seed)
     cut = n * 3 // 4
+    sets = [parts(short[:cut]), parts(long[:cut])]
     net = Net(
         {
             "embed": rng.normal(0, 0.3, (2 * N_CLASSES, EMBED)),
@@ -176,16 +258,19 @@ def train(n: int = EXAMPLES, steps: int = STEPS, seed: int = SEED) -> Net:
     )
     m, v = ({k: np.zeros_like(w) for k, w in net.weights.items()} for _ in range(2))
     for t in range(1, steps + 1):  # Adam
-        k = rng.integers(0, cut, BATCH)
-        for name, g in net.gradient(x[k], y[k]).items():
+        picks = [(x[k], y[k]) for x, y in sets for k in [rng.integers(0, len(x), BATCH)]]  # as many of short and of long ones
+        for name, g in net.gradient(*(np.concatenate(z) for z in zip(*picks, strict=True))).items():
             m[name] = 0.9 * m[name] + 0.1 * g
             v[name] = 0.999 * v[name] + 0.001 * g * g
             net.weights[name] = net.weights[name] - 0.01 * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.999**t)) + 1e-8)
-    held, truth = net.forward(x[cut:])[0], y[cut:]
+    back = short[cut:] + long[cut:]
+    held = net.highest([windows(t, a, b) for t, a, b, *_ in back])
+    truth = np.array([float(d > c) for *_, c, d in back])
     for _ in range(500):  # calibration
         p = 1 / (1 + np.exp(-np.clip(net.scale * held + net.shift, -500, 500)))
         net.scale -= 0.05 * float(((p - truth) * held).mean())
         net.shift -= 0.05 * float((p - truth).mean())
-    good = np.sort(net.probability(x[cut:])[truth == 1])
-    net.threshold = float(good[int((1 - RECALL) * len(good))])
+    p = net._calibrated(held)
+    good = [np.sort(p[k][truth[k] == 1]) for k in (slice(0, n - cut), slice(n - cut, None))]
+    net.threshold = min(float(g[int((1 - RECALL) * len(g))]) for g in good)
     return net

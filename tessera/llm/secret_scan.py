@@ -2,8 +2,8 @@
 
 Base findings are of three kinds (assign, access, hex), leftmost and non-overlapping within a kind, and always stay.
 Candidates of the network are all base findings and every further run of 20 or more key characters that holds both a
-digit and a letter and overlaps no base finding; runs whose calibrated probability reaches the recall-constrained
-threshold are added as kind `net`. Offsets are in code points, the end exclusive.
+digit and a letter and overlaps no base finding; runs whose calibrated probability (the highest along the run, which
+can have any length) reaches the recall-constrained threshold are added as kind `net`. Offsets are in code points, the end exclusive.
 
 Nulls and edges: a null or empty text has no spans (the SHA-256 is that of nothing); texts are scanned whole at any
 length; equal texts get equal spans; repeated rows and null ids pass through; an empty table gives an empty result."""
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.char_cnn import Net, train, window
+from tessera.llm.char_cnn import Net, train, windows
 from tessera.llm.common import documents, prepare
 
 KINDS = ("assign", "access", "hex", "net")
@@ -34,6 +34,9 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
+#: Windows that wait to be scored together.
+WAITING = 16384
+
 Span = tuple[int, int, int]
 
 
@@ -59,20 +62,30 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
 
 def scan_texts(texts: list[str | None], net: Net) -> tuple[list[list[Span]], list[float | None]]:
     """All spans of each text, and the highest probability among its candidates."""
-    spans, windows, owner = [], [], []
+    spans: list[list[Span]] = []
+    top: list[float | None] = [None] * len(texts)
+    rows, owner, waiting = [], [], 0
+
+    def judge() -> None:
+        for (k, a, b, found), x in zip(owner, net.probability_of(rows), strict=True):
+            top[k] = max(top[k] or 0.0, float(x))
+            if not found and x >= net.threshold:
+                spans[k].append((a, 3, b))
+        rows.clear()
+        owner.clear()
+
     for k, t in enumerate(texts):
         t = t or ""
         own = base_spans(t)
         spans.append(own)
         for a, b, found in [(a, b, True) for a, _, b in own] + [(a, b, False) for a, b in candidates(t, own)]:
-            windows.append(window(t, a, b))
+            rows.append(windows(t, a, b))
             owner.append((k, a, b, found))
-    top: list[float | None] = [None] * len(texts)
-    p = net.probability(np.array(windows)) if windows else []
-    for (k, a, b, found), x in zip(owner, p, strict=True):
-        top[k] = max(top[k] or 0.0, float(x))
-        if not found and x >= net.threshold:
-            spans[k].append((a, 3, b))
+            waiting += len(rows[-1])
+            if waiting >= WAITING:
+                judge()
+                waiting = 0
+    judge()
     return [sorted(s) for s in spans], top
 
 

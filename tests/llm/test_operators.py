@@ -376,6 +376,31 @@ def test_network_on_unseen_findings():
     assert found[y == 1].mean() > 0.93 and found[y == 0].mean() < 0.03
 
 
+def test_secrets_in_long_candidates(spark):
+    net, rng = secret_scan.network(), random.Random(98)
+
+    def found(good, at_end):
+        own = [char_cnn.long_finding(rng, good, at_end) for _ in range(300)]
+        return np.mean(net.probability_of([char_cnn.windows(t, a, b) for t, a, b, *_ in own]) >= net.threshold)
+
+    assert found(True, True) > 0.93 and found(True, False) > 0.93 and found(False, False) < 0.03
+    path, key = "/repos/my-team/project-name/v2/settings/integrations/webhooks/incoming/", "ghp_aB3dE5gH7jK9mN1pQ3rS5tU7vW9xY1zA"
+    texts = [f"see {path * k}{tail} end" for k in (1, 3, 4000) for tail in (key, "latest")]
+    assert [r["text"] for r in secret_scan.mask(docs(spark, texts)).collect()] == [t if k % 2 else "see [SECRET] end" for k, t in enumerate(texts)]
+
+
+def test_windows_cover_candidates():
+    text = "é" * 20 + "a" * 600
+    for a in (0, 3, 20):
+        for n in (20, 48, 49, 56, 57, 64, 65, 300, 600):
+            w, b = char_cnn.windows(text, a, a + n), a + n
+            at = char_cnn._starts(a, b)
+            assert w.shape == (len(at), 64) and set(range(a, b)) <= {x + k for x in at for k in range(64)} and np.diff(at, prepend=at[0]).max() <= char_cnn.STEP
+            for x, row in zip(at, w, strict=True):
+                want = [0 if not 0 <= p < len(text) else char_cnn._class(text[p]) + char_cnn.N_CLASSES * (a <= p < b) for p in range(x, x + 64)]
+                assert row.tolist() == want
+
+
 def test_masking(spark):
     texts = ["my password=abcdefghijklmnop ok", "clean text", None, "key ghp_aB3dE5gH7jK9mN1pQ3rS5tU7vW9xY1zA end"]
     got = [r["text"] for r in secret_scan.mask(docs(spark, texts)).collect()]
