@@ -1,8 +1,8 @@
 """Ids of a byte-level BPE tokenizer file, as the tokenizers library gives them.
 
 Merges run in tiktoken's core over the same vocabulary: in these files the id of a merged token is its merge's rank.
-That is probed when the file is read; if a probe differs, or a text holds an added token's string, the tokenizers
-library encodes the text itself."""
+That is probed when the file is read; if a probe differs, a text holds an added token's string, or the core gives up on
+a text (its pattern runs out of stack on about a million blanks in a row), the tokenizers library encodes the text itself."""
 
 from __future__ import annotations
 
@@ -57,7 +57,10 @@ class ByteBpe:
         """The ids, each as four little-endian bytes."""
         if self.core is None or self.added and self.added.search(text):
             return self._library(text)
-        return self.core.encode_to_numpy(text, disallowed_special=()).tobytes()
+        try:
+            return self.core.encode_to_numpy(text, disallowed_special=()).tobytes()
+        except ValueError:
+            return self._library(text)
 
 
 _loaded: dict[str, ByteBpe] = {}

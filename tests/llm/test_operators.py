@@ -459,3 +459,12 @@ def test_bpe_falls_back_and_agrees():
     for _ in range(500):
         t = "".join(rng.choice(list("ab é\n\t  '1.<|🙂") + ["'s", "<|endoftext|>"]) for _ in range(rng.randint(0, 30)))
         assert b.ids(t) == b._library(t)
+
+
+def test_very_long_blanks_are_encoded(spark):
+    b = byte_bpe.load(packing.tokenizer_path())
+    for c in " \n":
+        t = "a" + c * 1_500_000 + "b"
+        assert b.ids(t) == b._library(t)
+    got = packing.pack(docs(spark, [" " * 1_500_000, "x"])).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == {0: len(b._library(" " * 1_500_000)) // 4 + 1, 1: 2}
