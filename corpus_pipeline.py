@@ -15,13 +15,20 @@ from tessera.llm.common import documents, shared_table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A code of this many bits a byte is as long as the text itself: no learned language explains it.
 UNEXPLAINED = 8.0
+#: Texts of fewer bytes are not judged by their code length: there a rare letter alone costs more than UNEXPLAINED.
+LEAST_BYTES = 32
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that language ID rejects: no letter at all, or no language's code is shorter than the text."""
+    """Drops documents that language ID rejects: no letter at all, or, from LEAST_BYTES on, no language's code is shorter than the text.
+
+    If no row has a language label, nothing is learned and only documents without a letter go."""
     model = language_id.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(language_id.LETTER)).select(*COLUMNS)
     kept = language_id.with_language(docs.select(*COLUMNS), model, list(COLUMNS))
-    return kept.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("bits_per_byte") < UNEXPLAINED)).select(*COLUMNS)
+    explained = (F.octet_length("text") < LEAST_BYTES) | (F.col("bits_per_byte") < UNEXPLAINED)
+    return kept.where((F.col("lang_pred") != language_id.UNKNOWN) & explained).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

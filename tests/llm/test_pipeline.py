@@ -27,6 +27,15 @@ def test_stages(spark, sf):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_join", "secret_scan", "packing"]
 
 
+def test_tiny_and_unlabelled_texts_stay(spark, sf):
+    texts = ["the cat sat on the mat and then went home again " * 40, "Z", "12 34", None, "漢字仮名交文章例題" * 8]
+    df = docs(spark, texts).select(*corpus_pipeline.COLUMNS)
+    labelled = df.withColumn("lang", F.when(F.col("doc_id") < 4, F.col("lang")))
+    assert {r["doc_id"] for r in corpus_pipeline.keep_languages(spark, labelled, sf).collect()} == {0, 1}
+    nothing = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in corpus_pipeline.keep_languages(spark, nothing, sf).collect()} == {0, 1, 4}
+
+
 def test_empty(spark, sf):
     df = docs(spark, ["x"]).select(*corpus_pipeline.COLUMNS).limit(0)
     for _, stage in corpus_pipeline.STAGES:
