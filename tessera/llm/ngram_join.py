@@ -10,22 +10,32 @@ next band if a set that it could link with lies there, so each such pair meets i
   parts agree: s is given a signature for each 2-subset of the parts of a group, the hash of the features there.
 - An empty subset would be shared by many sets, so it gets no signature: a set goes on through the groups, in a fixed
   order, until ceil((k + 1) / 2) of them have at most one empty part. Of two sets, the one that stops first is sure of
-  an agreeing subset that isn't empty, and the other one has come as far. Sets that run out of groups (practically
-  none) also share one signature that stands for that.
+  an agreeing subset that isn't empty, and the other one has come as far. Sets that run out of groups (small ones) also
+  get a signature for each of their first |s| - ceil(num * |s| / den) + 1 features in a fixed order, rare ones first:
+  of two linked sets that both run out, these prefixes meet.
 - The groups come in a front and a back half; features that many documents hold (from counts over all documents) fall
   in the back half, so that passages which documents share make few candidates. This order changes no result.
 
-Candidates are sets that share a signature. First each set is held against one set only: of those that share a
-signature with it, one that shares signatures most widely, so a group of near copies gathers around its middle. Links
-are merged into components. Then pairs with a signature in common that are in different components are left; each set
-has a parity bitmap (a bit flips for each feature that hashes there), two bitmaps differ in no more bits than the sets
-in features, and the join that pairs them lets only those through that may still link. What comes through is compared
-by the exact intersection, so every link between components is found, and pairs within one are never made. All groups
-stay in tables of the shared folder; the driver gets counts only.
+Candidates are sets that share a signature, the members of a bucket. A bucket whose members all share one larger bucket
+(the largest that each of them is in) adds no pair and is left out.
+
+Gathering: in each round, a set is held against one lead of its buckets that is not in its component yet, the set that
+shares signatures most widely, so a group of near copies gathers around its middle. Links are merged into components,
+and rounds go on while they still link a good part of what they test. Each round's work is linear in the buckets.
+
+Then the pairs that are left are made, for sets of one bucket in different components. Members in a bucket's most
+common component are only held against the others, a pair that shares some of its largest buckets is made in one of
+them, and each set has a parity bitmap whose width follows the band (a bit flips for each feature that hashes there):
+two bitmaps differ in no more bits than the sets in features, and the join that pairs them lets only those through that
+may still link. What comes through is compared by the exact intersection, so every link between components is found,
+and pairs within one are never made. All groups stay in tables of the shared folder; the driver gets counts only.
+
+A signature that very many sets share does not meet in one task: of those that a batch of rows repeats, only the first
+two go the common way (enough to know that the bucket has members), and the others are dealt out by lanes.
 
 Nulls and edges: a null or word-free text has an empty set and links with nothing (its component is its own id); a
 document of fewer than `width` words has one shingle; rows with equal ids each follow their own text; a null id stays
-null; an empty table gives an empty result; other columns are ignored."""
+null, and its row still links; an empty table gives an empty result; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -50,9 +60,17 @@ SPARE = 1.15
 FREQUENT = 100_000
 #: Up to so many ids (8 MB) are broadcast to fetch sets by id; beyond it, a shuffle join is used.
 BROADCAST_IDS = 1_000_000
+#: Sets that a task remembers so as not to repeat them.
 SEEN = 200_000
-#: 64-bit words of a parity bitmap.
-BITMAP = 4
+#: Rows that a batch repeats of one signature are dealt to so many lanes.
+LANES = 64
+#: 64-bit words of every parity bitmap, and bits for each feature of the largest difference, which bands of large sets reach by a second, wide bitmap.
+BITMAP = 16
+BITS_A_DIFFERENCE = 6
+#: Of a set's largest buckets, so many are compared to make a pair only once.
+TOPS = 4
+#: Gathering goes on while so large a part of its tests gives links.
+GATHERING = 0.1
 
 
 class Scheme:
@@ -74,11 +92,12 @@ class Scheme:
         """Groups in each half: what the largest set of the band needs, and some to spare."""
         return int(SPARE * (self.k(self.edges[band + 1] - 1) // (K2 + 1) + 1)) + 1
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
+    def signatures(self, s: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """The signatures by band."""
         n = len(s)
         k = self.k(n)
         if not k:
-            return np.zeros(0, np.uint64)
+            return []
         if len(self.frequent):
             at = np.minimum(np.searchsorted(self.frequent, s), len(self.frequent) - 1)
             back = self.frequent[at] == s
@@ -89,9 +108,7 @@ class Scheme:
         mixed = mix(s)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(mixed, out=sums[1:])
-        own = self.band(n)
-        last = self.band(self.den * n // self.num)
-        return np.concatenate([self._in_band(s, rare, sums, band, k) for band in {own, last}])
+        return [(band, self._in_band(s, rare, sums, band, k)) for band in sorted(set(self.bands(n)))]
 
     def _in_band(self, s: np.ndarray, rare: int, sums: np.ndarray, band: int, k: int) -> np.ndarray:
         half = self.groups(band)
@@ -112,12 +129,23 @@ class Scheme:
             sig = mix(mix(tags + U(skipped)) + content[:, a] * U(3) + content[:, b] * U(5))
             out.append(sig[~(empty[:, a] & empty[:, b])])
         if usable[-1] < need:
-            out.append(mix(np.array([band + (1 << 62)], np.uint64)))
+            n = len(s)
+            out.append(mix(s[: n + 1 + (-self.num * n // self.den)] + mix(np.array([band + (1 << 62)], np.uint64))))
         return np.concatenate(out)
 
+    def words(self, band: int) -> int:
+        """64-bit words of the wide bitmap of a band; 0 where the common one is wide enough."""
+        bits = BITS_A_DIFFERENCE * self.k(self.edges[band + 1] - 1)
+        return 0 if bits <= 64 * BITMAP else 1 << (-(-bits // 64) - 1).bit_length()
+
+    def bands(self, n: int) -> tuple[int, int]:
+        """The band of sets of n features, and the band of the largest sets that they could link with."""
+        own = self.band(n)
+        return own, self.band(self.den * n // self.num)
+
 
 def _sets(df: DataFrame, width: int) -> DataFrame:
-    """A row for each document (doc_id, n, d1, d2: digest of the set), and rows (d1: shingle, df) for shingles in several sets of a batch."""
+    """A row for each document (doc_id, text_key, n, d1, d2: digest of the set), and rows (d1: shingle, df) for shingles in several sets of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,78 +154,102 @@ def _sets(df: DataFrame, width: int) -> DataFrame:
             distinct = list({k: s for k, s in zip(keys, sets, strict=True)}.values())
             shingles, counts = np.unique(np.concatenate(distinct), return_counts=True) if distinct else (np.zeros(0, np.uint64), np.zeros(0, int))
             often = counts >= 3
-            m = int(often.sum())
-            nulls = [None] * m
+            nulls = [None] * int(often.sum())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(batch.column(0).to_pylist() + nulls, pa.int64()),
+                    pa.array(batch.column(2).to_pylist() + nulls, pa.int64()),
                     pa.array([len(s) for s in sets] + nulls, pa.int64()),
                     pa.array(np.concatenate([np.array([k[0] for k in keys], np.int64), shingles[often].view(np.int64)])),
                     pa.array([k[1] for k in keys] + nulls, pa.int64()),
                     pa.array([None] * len(sets) + counts[often].tolist(), pa.int64()),
                 ],
-                ["doc_id", "n", "d1", "d2", "df"],
+                ["doc_id", "text_key", "n", "d1", "d2", "df"],
             )
 
-    return df.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, df long")
+    return df.mapInArrow(run, "doc_id long, text_key long, n long, d1 long, d2 long, df long")
+
+
+def _lanes(sigs: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """0 for the first two rows of each signature, 1 to LANES for further ones."""
+    order = np.argsort(sigs, kind="stable")
+    at = sigs[order]
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, int)
+    place = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+    out = np.zeros(len(at), np.int32)
+    more = order[place >= 2]
+    out[more] = 1 + (nodes[more].view(np.uint64) % U(LANES)).astype(np.int32)
+    return out
 
 
 def _signatures(df: DataFrame, width: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """(sig, node, n) of every set; a set that a task has already met (the last SEEN ones) is not repeated."""
+    """(sig, lane, band, node, n) of every set; a set that a task has already met (the last SEEN ones) is not repeated."""
     shared = df.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme, seen = Scheme(num, den, shared.value), {}
+        scheme, seen = Scheme(num, den, shared.value), set()
         for batch in batches:
-            sigs, nodes, sizes = [], [], []
+            sigs, bands, nodes, sizes, reps = [], [], [], [], []
+            if len(seen) >= SEEN:
+                seen.clear()
             for s in shingle_sets(batch.column(1).to_pylist(), width):
                 node = digest(s)[0]
                 if len(s) < scheme.edges[0] or node in seen:
                     continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen[node] = True
-                sigs.append(scheme.signatures(s))
-                nodes.append(node)
-                sizes.append(len(s))
-            reps = [len(x) for x in sigs]
+                seen.add(node)
+                for band, own in scheme.signatures(s):
+                    sigs.append(own)
+                    bands.append(band)
+                    nodes.append(node)
+                    sizes.append(len(s))
+                    reps.append(len(own))
             if sigs:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), reps)), pa.array(np.repeat(np.array(sizes, np.int32), reps))], ["sig", "node", "n"]
-                )
+                sig, node = np.concatenate(sigs).view(np.int64), np.repeat(np.array(nodes, np.int64), reps)
+                columns = [sig, _lanes(sig, node), np.repeat(np.array(bands, np.int32), reps), node, np.repeat(np.array(sizes, np.int32), reps)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "lane", "band", "node", "n"])
 
-    return df.mapInArrow(run, "sig long, node long, n int")
+    return df.mapInArrow(run, "sig long, lane int, band int, node long, n int")
 
 
-def _bitmap(s: np.ndarray) -> np.ndarray:
+def _bitmap(s: np.ndarray, words: int) -> np.ndarray:
     """Parity, by bit, of how many features hash there."""
-    bits = np.bincount((s & U(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+    bits = np.bincount((s & U(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _fetch(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, features, bits0, bits1, ...) of every set of nodes."""
-    ids = shared_table(classes.join(nodes.select(F.col("node").alias("d1")), "d1").select("doc_id", "d1"), "candidates")
+BITS = [f"bits{k}" for k in range(BITMAP)]
+
+
+def _fetch(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node, features, bits0, bits1, ..., own, wide_own, wide_next) of every set of nodes; the wide bitmaps are those of its own band and of the next one that it is in."""
+    ids = shared_table(classes.join(nodes.select(F.col("node").alias("d1")), "d1").select("doc_id").distinct(), "candidates")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.join(wanted, docs["id"] == ids["doc_id"]).select("d1", "text")
-    bits = [f"bits{k}" for k in range(BITMAP)]
+    texts = docs.join(wanted, docs["id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()  # rows can repeat; a task returns each set once, and what tasks repeat changes nothing
+        scheme, met = Scheme(num, den, np.zeros(0, np.uint64)), set()
         for batch in batches:
-            nodes, sets = batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), width)
-            own = [(node, s) for node, s in zip(nodes, sets, strict=True) if node not in met and digest(s)[0] == node]  # ids can repeat with other texts
-            own = list({node: (node, s) for node, s in own}.values())
-            met.update(node for node, _ in own)
-            maps = np.array([_bitmap(s) for _, s in own], np.int64).reshape(-1, BITMAP)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary()), *map(pa.array, maps.T)], ["node", "features", *bits])
+            if len(met) >= SEEN:
+                met.clear()
+            own = {}
+            for s in shingle_sets(batch.column(0).to_pylist(), width):
+                if len(s) >= scheme.edges[0] and (node := digest(s)[0]) not in met:
+                    met.add(node)
+                    own[node] = s
+            maps = np.array([_bitmap(s, BITMAP) for s in own.values()], np.int64).reshape(-1, BITMAP)
+            bands = [scheme.bands(len(s)) for s in own.values()]
+            wide = [[_bitmap(s, w) if (w := scheme.words(b[k])) else None for s, b in zip(own.values(), bands, strict=True)] for k in range(2)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(own), pa.int64()), pa.array([s.tobytes() for s in own.values()], pa.binary()), *map(pa.array, maps.T), pa.array([b[0] for b in bands], pa.int32()), *(pa.array(w, pa.list_(pa.int64())) for w in wide)],
+                ["node", "features", *BITS, "own", "wide_own", "wide_next"],
+            )
 
-    found = texts.mapInArrow(run, f"node long, features binary, {', '.join(f'{b} long' for b in bits)}")
-    return shared_table(found, "features")
+    found = texts.mapInArrow(run, f"node long, features binary, {', '.join(f'{b} long' for b in BITS)}, own int, wide_own array<long>, wide_next array<long>")
+    return shared_table(found.join(nodes.select("node"), "node", "left_semi"), "features")  # rows without an id, or with a repeated one, can hold other sets too
 
 
 def _linked(pairs: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) that link, by exact intersection."""
+    """The pairs (u, v) that link, by exact intersection; a is the side that fewer sets are on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,59 +260,126 @@ def _linked(pairs: DataFrame, features: DataFrame, num: int, den: int) -> DataFr
                 keep.append(den * both >= num * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    left = features.select(F.col("node").alias("a"), F.col("features").alias("fa"))
+    left = features.select(F.col("node").alias("a"), F.col("features").alias("fa")).join(pairs.select("a").distinct(), "a", "left_semi")
     right = features.select(F.col("node").alias("b"), F.col("features").alias("fb"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "fa", "fb").mapInArrow(run, "u long, v long")
 
 
-def join(df: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def _buckets(docs: DataFrame, width: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
+    """(sig, band, node, n) of every signature that several sets share."""
+    lane = W.partitionBy("sig", "lane")
+    met = _signatures(docs, width, num, den, frequent).withColumns({"lo": F.min("node").over(lane), "hi": F.max("node").over(lane)})
+    shared = met.where("lane > 0 or lo <> hi").dropDuplicates(["sig", "lane", "node"])
+    return shared_table(shared.select("sig", "band", "node", "n"), "buckets")
+
+
+def _live(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Buckets without those whose members all have one other bucket as their largest, and with the lead of each: (sig, band, node, n, lead: deg and node)."""
+    own = buckets.join(nodes, "node")
+    kept = own.groupBy("sig").agg(F.min("top").alias("lo"), F.max("top").alias("hi"), F.max(F.struct("deg", "node")).alias("lead")).where("lo <> hi or lo = sig")
+    return shared_table(buckets.join(kept.select("sig", "lead"), "sig"), "live")
+
+
+def _placed(live: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """live with the component of the set and of the lead; a set without links is its own."""
+    if comps is None:
+        return live.withColumns({"comp": F.col("node"), "lead_comp": F.col("lead.node")})
+    lead = comps.select(F.col("node").alias("_lead"), F.col("comp").alias("_comp"))
+    placed = live.join(comps, "node", "left").join(lead, F.col("lead.node") == F.col("_lead"), "left")
+    return placed.withColumns({"comp": F.coalesce("comp", "node"), "lead_comp": F.coalesce("_comp", "lead.node")}).drop("_lead", "_comp")
+
+
+def _rest(live: DataFrame, comps: DataFrame, features: DataFrame, done: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of one bucket in different components that may still link and have not been held against each other."""
+    placed = _placed(live, comps).select("sig", "band", "node", "n", "comp")
+    parts = placed.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
+    several = parts.groupBy("sig").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("c").alias("c")).where("lo <> hi")
+    spread = shared_table(placed.join(several.select("sig", "main", "c"), "sig").withColumn("apart", F.col("comp") != F.col("main")), "spread")
+    largest = F.slice(F.sort_array(F.collect_list(F.struct("c", "sig")), asc=False), 1, TOPS)
+    tops = spread.groupBy("node").agg(largest.alias("tops")).select("node", F.col("tops.sig").alias("tops"))
+    wide = F.when(F.col("band") == F.col("own"), F.col("wide_own")).otherwise(F.col("wide_next")).alias("wide")
+    mapped = spread.join(tops, "node").join(features, "node").select("sig", "node", "n", "comp", "apart", "tops", wide, *BITS)
+    l, r = (mapped.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", "apart", "tops", "wide", *BITS))) for x in "lr")
+    bits = sum((F.bit_count(F.col(f"{c}_l").bitwiseXOR(F.col(f"{c}_r"))) for c in BITS[1:]), F.bit_count(F.col("bits0_l").bitwiseXOR(F.col("bits0_r"))))
+    wide_bits = F.aggregate(F.zip_with("wide_l", "wide_r", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    allowed = (den - num) * (F.col("n_l") + F.col("n_r"))
+    common = F.array_intersect("tops_l", "tops_r")
+    may = (
+        (F.col("comp_l") != F.col("comp_r"))
+        & (~F.col("apart_r") | (F.col("node_l") < F.col("node_r")))
+        & (den * F.least("n_l", "n_r") >= num * F.greatest("n_l", "n_r"))
+        & ((den + num) * bits <= allowed)
+        & ((F.size(common) == 0) | (F.array_min(common) == l["sig"]))
+        & (F.col("wide_l").isNull() | ((den + num) * wide_bits <= allowed))
+    )
+    pairs = l.where("apart_l").join(r, (l["sig"] == r["sig"]) & may).select(F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b")).distinct()
+    tested = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return shared_table(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+
+
+def grouped(df: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, n, d1, d2) of every document, and (d1, d2, n, doc_id: the smallest, comp) of every class of equal sets that aren't empty."""
     spark = df.sparkSession
     prepare(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = shared_table(_sets(docs, width), "sets")
-    rows = sets.where("n is not null")
+    sets = shared_table(_sets(docs.withColumn("text_key", F.xxhash64("text")), width), "sets")
+    rows = sets.where("n is not null").drop("df")
     classes = shared_table(rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id")), "classes")
     common = sets.where("n is null").groupBy("d1").agg(F.sum("df").alias("df")).where("df >= 16").orderBy(F.desc("df"), "d1").limit(FREQUENT)
     frequent = np.sort(np.array([r["d1"] for r in common.select("d1").collect()], np.int64).view(np.uint64))
 
-    by_sig = W.partitionBy("sig")
-    met = _signatures(docs, width, num, den, frequent).withColumns({"lo": F.min("node").over(by_sig), "hi": F.max("node").over(by_sig)})
-    buckets = shared_table(met.where("lo <> hi").select("sig", "node", "n"), "buckets")
-
-    wide = shared_table(buckets.groupBy("node").agg(F.count(F.lit(1)).alias("deg")), "nodes")
-    ranked = buckets.join(wide, "node").select("sig", F.struct("deg", "node").alias("own"))
-    tops = ranked.withColumn("top", F.max("own").over(by_sig)).where("own <> top")
-    first = shared_table(tops.groupBy(F.col("own.node").alias("b")).agg(F.max("top").alias("top")).select(F.col("top.node").alias("a"), "b"), "pairs")
-    features = _fetch(docs, classes, wide, width)
-    links = shared_table(_linked(first, features, num, den), "linked")
-    comps = components(links)
-
-    placed = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    spread = placed.withColumns({"lo": F.min("comp").over(by_sig), "hi": F.max("comp").over(by_sig)}).where("lo <> hi").drop("lo", "hi")
-    spread = shared_table(spread, "spread")
-    bits = [f"bits{k}" for k in range(BITMAP)]
-    mapped = spread.join(features.select("node", *bits), "node")
-    a, b = (mapped.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", *bits))) for x in "ab")
-    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits[1:]), F.bit_count(F.col("bits0_a").bitwiseXOR(F.col("bits0_b"))))
-    may = (
-        (F.col("node_a") < F.col("node_b"))
-        & (F.col("comp_a") != F.col("comp_b"))
-        & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-        & ((den + num) * apart <= (den - num) * (F.col("n_a") + F.col("n_b")))
-    )
-    rest = a.join(b, (a["sig"] == b["sig"]) & may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = shared_table(rest.join(done, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        links = links.unionAll(_linked(rest, features, num, den))
+    buckets = _buckets(docs, width, num, den, frequent)
+    sized = buckets.join(buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("c")), "sig")
+    nodes = shared_table(sized.groupBy("node").agg(F.count(F.lit(1)).alias("deg"), F.max(F.struct("c", "sig"))["sig"].alias("top")), "nodes")
+    live = _live(buckets, nodes)
+    features = _fetch(docs, classes, nodes, width, num, den)
+
+    links = done = comps = None
+    while True:
+        open_ = _placed(live, comps).where("comp <> lead_comp").select("lead", F.col("node").alias("b")).distinct()
+        if done is not None:
+            open_ = open_.join(done.select(F.struct("deg", F.col("a").alias("node")).alias("lead"), "b"), ["lead", "b"], "left_anti")
+        tests = shared_table(open_.groupBy("b").agg(F.max("lead").alias("lead")).select("lead.deg", F.col("lead.node").alias("a"), "b"), "tests")
+        found = shared_table(_linked(tests.select("a", "b"), features, num, den), "linked")
+        done = tests if done is None else done.unionAll(tests)
+        links = found if links is None else links.unionAll(found)
         comps = components(links)
+        if found.count() <= GATHERING * tests.count():
+            break
+    rest = _rest(live, comps, features, done, num, den)
+    if not rest.isEmpty():
+        comps = components(links.unionAll(_linked(rest, features, num, den)))
+    return rows, classes.join(comps, classes["d1"] == comps["node"], "left").select("d1", "d2", "n", "doc_id", F.coalesce("comp", "d1").alias("comp"))
 
-    named = classes.join(comps, classes["d1"] == comps["node"], "left").select("d1", "d2", "doc_id", F.coalesce("comp", "d1").alias("comp"))
+
+def join(df: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    rows, named = grouped(df, num, den, width, id_col, text_col)
+    named = shared_table(named, "named")
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     found = named.join(least, "comp").select("d1", "d2", "component_id")
     return rows.join(found, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def drop_copies(df: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """df with one row of each component: the one with the smallest id (a null id comes last), then the smallest hash of the text; rows that repeat id and text count once. Rows without words all stay."""
+    rows, named = grouped(df, num, den, width)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    placed = shared_table(rows.where("n > 0").groupBy("doc_id", "text_key", "d1", "d2").agg(F.count(F.lit(1)).alias("times")).join(named.select("d1", "d2", "comp"), ["d1", "d2"]).select("comp", "times", key.alias("key")), "placed")
+    head = placed.groupBy("comp").agg(F.min("key").alias("head"))
+    gone = shared_table(placed.join(head, "comp").where("key <> head").select("key.doc_id", "key.text_key"), "gone")
+    twice = placed.where("times > 1").select("key.doc_id", "key.text_key")
+
+    def same(table: DataFrame):
+        return keyed["doc_id"].cast("long").eqNullSafe(table["doc_id"]) & (keyed["_text_key"] == table["text_key"])
+
+    keyed = df.withColumn("_text_key", F.xxhash64("text"))
+    kept = keyed.join(gone, same(gone), "left_anti")
+    keyed = kept
+    if not twice.isEmpty():
+        kept = keyed.join(twice, same(twice), "left_anti").unionAll(keyed.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "_text_key"]))
+    return kept.drop("_text_key")
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir))

@@ -205,6 +205,9 @@ def test_join_matches_all_pairs(spark, num, den, width):
 def test_join_edges(spark):
     got = ngram_join.join(docs(spark, ["a b c d e"] * 3 + [None], [5, None, 3, 9])).collect()
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(5, 2, 3), (None, 2, 3), (3, 2, 3), (9, 0, 9)}
+    bridge = [" ".join(f"w{k}" for k in range(a, a + 60)) for a in (0, 3, 6)]  # the first and the last link through the middle one only
+    got = ngram_join.join(docs(spark, bridge, [7, None, 8]), 85, 100, 4).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(7, 7), (None, 7), (8, 7)}
     assert ngram_join.join(docs(spark, ["x"]).limit(0)).count() == 0
 
 
@@ -219,7 +222,57 @@ def test_signatures_meet_for_every_linking_pair():
             t = np.unique(np.concatenate([rng.permutation(s)[drop:], rng.integers(0, 2**63, d - drop, dtype=np.uint64)]))
             both = len(np.intersect1d(s, t))
             if 100 * both >= 85 * (len(s) + len(t) - both) and both < max(len(s), len(t)):
-                assert np.intersect1d(scheme.signatures(s), scheme.signatures(t)).size
+                assert any(np.intersect1d(x, y).size for a, x in scheme.signatures(s) for b, y in scheme.signatures(t) if a == b)
+
+
+def test_small_sets_meet_without_a_shared_signature(spark):
+    rng = random.Random(8)
+    texts = []
+    while len(texts) < 10_000:
+        own = rng.sample(range(3000), rng.randint(4, 12))
+        for _ in range(rng.choice((1, 1, 1, 2, 4))):
+            texts.append(" ".join(f"w{x if rng.random() > 0.06 else rng.randrange(3000)}" for x in own))
+    sets = [frozenset(t.split()) for t in texts]
+    holds = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holds[x].append(i)
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j, both in Counter(j for x in s for j in holds[x] if j < i).items():
+            if 100 * both >= 80 * (len(s) + len(sets[j]) - both):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs(spark, texts), 80, 100, 1).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    scheme = ngram_join.Scheme(80, 100, np.zeros(0, np.uint64))
+    hashed = shingle_sets(texts, 1)
+    shared = Counter(x for s in {s.tobytes(): s for s in hashed}.values() for _, sigs in scheme.signatures(s) for x in set(sigs.tolist()))
+    assert max(shared.values()) < 200
+
+
+def test_lanes_leave_two_rows_of_a_signature():
+    rng = np.random.default_rng(9)
+    sigs = np.concatenate([np.full(500, 7), rng.integers(0, 400, 300)]).astype(np.int64)
+    lanes = ngram_join._lanes(sigs, rng.integers(-(2**62), 2**62, 800))
+    assert all(c == min(2, n) for c, n in zip(*(np.array([np.sum(sigs[m] == x) for x in np.unique(sigs)]) for m in (lanes == 0, lanes >= 0)), strict=True))
+    assert lanes.max() <= ngram_join.LANES and len(np.unique(lanes[:500])) > 30
+
+
+def test_wide_families_of_long_sets(spark):
+    """Large sets get wide bitmaps, and copies just under the threshold stay apart."""
+    rng = random.Random(10)
+    base = [f"w{rng.randint(0, 50_000)}" for _ in range(2500)]
+    texts = near_copies(rng, base, 12, 0.02) + near_copies(rng, base, 12, 0.035) + near_copies(rng, base, 12, 0.001)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs(spark, texts), 80, 100, 5).collect()}
+    assert got == dict(enumerate(brute_components(texts, 80, 100, 5)[1]))
 
 
 def test_long_texts_are_cut_at_words():
