@@ -32,10 +32,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that the join links, the one with the smallest id stays; rows with null ids stay."""
-    groups = ngram_join.join(docs, width=5, num=80, den=100)
-    gone = shared_table(groups.where("doc_id <> component_id").select("doc_id"), "near-copies")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """Of each group of documents that the join links, one row stays: the one with the smallest id, null ids last, then the smallest hash of the text."""
+    return ngram_join.drop_copies(docs.select(*COLUMNS), width=5, num=80, den=100)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
