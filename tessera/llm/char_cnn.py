@@ -1,7 +1,7 @@
 """A character convolutional network in numpy that tells secrets from other long tokens.
 
-The input is a candidate in the middle of its surroundings: WINDOW characters, each as a class (letters by kind and
-hex range, digits, marks) with a flag for whether it lies in the candidate. A candidate too long for one window has
+The input is a candidate in the middle of its surroundings: WINDOW characters, each as a class (letters and marks of
+their own, digits as one) with a flag for whether it lies in the candidate. A candidate too long for one window has
 several that overlap, from MARGIN characters before it to MARGIN after it, and the highest counts. An embedding, a
 convolution of width KERNEL with ReLU, the maximum and the mean over positions, and a linear layer give a logit.
 
@@ -10,7 +10,7 @@ that issuers use, and harmless tokens of the same length (words, names, addresse
 in prose. As many are long runs: harmless tokens joined, in one half with a secret among them or at the end, and each of
 their windows is learned by how much of the secret it holds. One part is held back: on it the logits of candidates are
 calibrated (a scale and a shift by logistic regression), and the threshold is the highest one that still finds RECALL of
-the secrets there, among the short ones and among the long ones."""
+the secrets there, among the short ones, among the long ones, and among those of `findings`, which are written by hand."""
 
 from __future__ import annotations
 
@@ -20,36 +20,34 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from tessera.llm import findings
+
 WINDOW = 64
 #: A candidate of more characters than FIT is seen through windows STEP apart, so a secret of up to WINDOW - STEP + 1 characters lies in one whole.
 MARGIN = 8
 FIT, STEP = WINDOW * 3 // 4, 16
 KERNEL = 5
-EMBED, FILTERS = 8, 24
-RECALL = 0.98
-EXAMPLES, STEPS, BATCH, SEED = 2400, 360, 96, 20
+EMBED, FILTERS = 8, 32
+RECALL = 0.99
+EXAMPLES, STEPS, BATCH, SEED = 4000, 600, 96, 20
 
 #: Windows that are scored at once; bounds memory however long a candidate is.
 AT_ONCE = 2048
 
-CLASSES = {c: 1 + i for i, c in enumerate(string.digits[:1] + "+/_=-.:\"'@ \n,;()")}
-N_CLASSES = 26
+MARKS = "+/_=-.:\"'@ \n,;()"
+#: Zeros stand beyond the text; all digits are one class, letters and marks have their own, and the last three are other ASCII, other letters and all else.
+LETTERS, OTHER = 2, 2 + 2 * 26 + len(MARKS)
+N_CLASSES = OTHER + 3
 
 
 def _class(c: str) -> int:
-    if c.isascii():
-        if c.isdigit():
-            return 1
-        if c in "abcdef":
-            return 19
-        if c.islower():
-            return 20
-        if c in "ABCDEF":
-            return 21
-        if c.isupper():
-            return 22
-        return CLASSES.get(c, 23)
-    return 24 if c.isalpha() else 25
+    if not c.isascii():
+        return OTHER + 1 if c.isalpha() else OTHER + 2
+    if c.isdigit():
+        return 1
+    if c.isalpha():
+        return LETTERS + (ord(c) - ord("a") if c.islower() else 26 + ord(c) - ord("A"))
+    return LETTERS + 52 + MARKS.index(c) if c in MARKS else OTHER
 
 
 TABLE = np.array([_class(chr(c)) for c in range(128)], np.int64)
@@ -95,6 +93,11 @@ def _word(r: random.Random, low: int = 2, high: int = 6) -> str:
     return "".join(r.choice(("re", "th", "on", "er", "ing", "au", "ent", "la", "mi", "st", "che", "do", "ver", "pa", "qu", "is", "ö", "é")) for _ in range(r.randint(low, high)))
 
 
+def _spelled(r: random.Random, low: int, high: int) -> str:
+    """A word of syllables."""
+    return "".join(r.choice("bcdfghklmnprstvwz") * (r.random() < 0.9) + r.choice(("a", "e", "i", "o", "u", "ei", "ou", "ie")) + r.choice(("", "", "n", "r", "s", "l", "t", "ng", "st", "ch")) for _ in range(r.randint(low, high)))
+
+
 def _secret(r: random.Random) -> str:
     alnum, upper = string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
     return r.choice(
@@ -105,6 +108,12 @@ def _secret(r: random.Random) -> str:
             lambda: _token(r, alnum + "+/", 28, 60) + r.choice(("", "=", "==")),
             lambda: r.choice(("ghp_", "sk_live_", "xoxb-", "glpat-", "npm_")) + _token(r, alnum, 20, 40),
             lambda: "eyJ" + _token(r, alnum + "_-", 30, 60),
+            lambda: _token(r, string.ascii_letters, 24, 44),
+            lambda: _token(r, "0123456789ABCDEF", 24, 48),
+            lambda: _token(r, string.ascii_uppercase + "234567", 24, 40),
+            lambda: _token(r, string.ascii_lowercase + string.digits, 24, 40),
+            lambda: r.choice("-_/").join(_token(r, r.choice((alnum, upper)), 4, 8) for _ in range(r.randint(4, 6))),
+            lambda: "".join(_token(r, "0123456789ABCDEF", 4, 8) * 3 for _ in range(r.randint(2, 3))),
         )
     )()
 
@@ -122,6 +131,19 @@ def _harmless(r: random.Random) -> str:
             lambda: "=" * r.randint(8, 20) + str(r.randint(1, 9)) + "=" * r.randint(8, 20),
             lambda: "20%02d-%02d-%02d_%02d-%02d-%02d-" % tuple(r.randint(1, 12) for _ in range(6)) + _word(r, 2, 3),
             lambda: (_word(r, 1, 1) + str(r.randint(0, 9))) * r.randint(6, 9),
+            lambda: _spelled(r, 6, 10),
+            lambda: _spelled(r, 6, 10).capitalize(),
+            lambda: _spelled(r, 6, 10).upper(),
+            lambda: r.choice("-_/").join(_spelled(r, 1, 3) for _ in range(r.randint(4, 7))),
+            lambda: "_".join(_spelled(r, 1, 3).upper() for _ in range(r.randint(3, 5))),
+            lambda: _spelled(r, 1, 2) + "".join(_spelled(r, 1, 3).capitalize() for _ in range(r.randint(3, 5))),
+            lambda: "/".join((_spelled(r, 1, 2), "20%02d" % r.randint(0, 30), "%02d" % r.randint(1, 12), "-".join(_spelled(r, 1, 2) for _ in range(3)))),
+            lambda: "20%02d-%02d-%02d" % (r.randint(0, 30), r.randint(1, 12), r.randint(1, 31)) + r.choice("-_T") + r.choice((_spelled(r, 4, 6), "%02d-%02d-%02d" % (r.randint(0, 23), r.randint(0, 59), r.randint(0, 59)))),
+            lambda: r.choice(string.ascii_letters + string.digits + "-_=+/") * r.randint(20, 50),
+            lambda: _spelled(r, 1, 1) + r.choice(string.ascii_lowercase) * r.randint(18, 40) + _spelled(r, 0, 1),
+            lambda: (string.ascii_lowercase * 2)[(k := r.randint(0, 25)) : k + r.randint(20, 26)] if r.random() < 0.5 else (string.ascii_uppercase + string.digits)[: r.randint(24, 36)],
+            lambda: _token(r, string.digits, 20, 44),
+            lambda: r.choice("-/_").join(_token(r, string.digits, 2, 7) for _ in range(r.randint(5, 8))),
         )
     )()
 
@@ -229,14 +251,13 @@ class Net:
         d = (1 / (1 + np.exp(-np.clip(logit, -500, 500))) - y) / len(x)
         dp = d[:, None] * w["out"]
         da = np.repeat(dp[:, None, FILTERS:] / z.shape[1], z.shape[1], 1)
-        np.add.at(da, (np.arange(len(x))[:, None], top, np.arange(FILTERS)), dp[:, :FILTERS])
+        da[np.arange(len(x))[:, None], top, np.arange(FILTERS)] += dp[:, :FILTERS]
         dz = da * (z > 0)
         dcols = (dz @ w["conv"].T).reshape(len(x), z.shape[1], EMBED, KERNEL)
-        de = np.zeros((len(x), WINDOW, EMBED))
+        de = np.zeros((len(x), WINDOW, EMBED), np.float32)
         for k in range(KERNEL):
             de[:, k : k + z.shape[1]] += dcols[..., k]
-        embed = np.zeros_like(w["embed"])
-        np.add.at(embed, x, de)
+        embed = np.stack([np.bincount(x.ravel(), de[..., k].ravel(), len(w["embed"])) for k in range(EMBED)], 1)
         flat = cols.reshape(-1, EMBED * KERNEL)
         return {"embed": embed, "conv": flat.T @ dz.reshape(-1, FILTERS), "bias": dz.sum((0, 1)), "out": pooled.T @ d, "const": d.sum()}
 
@@ -249,11 +270,11 @@ def train(n: int = EXAMPLES, steps: int = STEPS, seed: int = SEED) -> Net:
     sets = [parts(short[:cut]), parts(long[:cut])]
     net = Net(
         {
-            "embed": rng.normal(0, 0.3, (2 * N_CLASSES, EMBED)),
-            "conv": rng.normal(0, (2 / (EMBED * KERNEL)) ** 0.5, (EMBED * KERNEL, FILTERS)),
-            "bias": np.zeros(FILTERS),
-            "out": rng.normal(0, 0.2, 2 * FILTERS),
-            "const": np.zeros(()),
+            "embed": rng.normal(0, 0.3, (2 * N_CLASSES, EMBED)).astype(np.float32),
+            "conv": rng.normal(0, (2 / (EMBED * KERNEL)) ** 0.5, (EMBED * KERNEL, FILTERS)).astype(np.float32),
+            "bias": np.zeros(FILTERS, np.float32),
+            "out": rng.normal(0, 0.2, 2 * FILTERS).astype(np.float32),
+            "const": np.zeros((), np.float32),
         }
     )
     m, v = ({k: np.zeros_like(w) for k, w in net.weights.items()} for _ in range(2))
@@ -262,7 +283,8 @@ def train(n: int = EXAMPLES, steps: int = STEPS, seed: int = SEED) -> Net:
         for name, g in net.gradient(*(np.concatenate(z) for z in zip(*picks, strict=True))).items():
             m[name] = 0.9 * m[name] + 0.1 * g
             v[name] = 0.999 * v[name] + 0.001 * g * g
-            net.weights[name] = net.weights[name] - 0.01 * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.999**t)) + 1e-8)
+            rate = 0.01 * min(1.0, 2 * (1 - t / (steps + 1)))
+            net.weights[name] = (net.weights[name] - rate * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     back = short[cut:] + long[cut:]
     held = net.highest([windows(t, a, b) for t, a, b, *_ in back])
     truth = np.array([float(d > c) for *_, c, d in back])
@@ -271,6 +293,7 @@ def train(n: int = EXAMPLES, steps: int = STEPS, seed: int = SEED) -> Net:
         net.scale -= 0.05 * float(((p - truth) * held).mean())
         net.shift -= 0.05 * float((p - truth).mean())
     p = net._calibrated(held)
-    good = [np.sort(p[k][truth[k] == 1]) for k in (slice(0, n - cut), slice(n - cut, None))]
+    by_hand = net.probability_of([windows(*findings.finding(*f)) for f in findings.SECRETS])
+    good = [np.sort(x) for x in (*(p[k][truth[k] == 1] for k in (slice(0, n - cut), slice(n - cut, None))), by_hand)]
     net.threshold = min(float(g[int((1 - RECALL) * len(g))]) for g in good)
     return net

@@ -1,8 +1,8 @@
 """Secret scans: base patterns, and a character network over every candidate.
 
 Base findings are of three kinds (assign, access, hex), leftmost and non-overlapping within a kind, and always stay.
-Candidates of the network are all base findings and every further run of 20 or more key characters that holds both a
-digit and a letter and overlaps no base finding; runs whose calibrated probability (the highest along the run, which
+Candidates of the network are all base findings and every further run of 20 or more key characters that overlaps no base
+finding; runs whose calibrated probability (the highest along the run, which
 can have any length) reaches the recall-constrained threshold are added as kind `net`. Offsets are in code points, the end exclusive.
 
 Nulls and edges: a null or empty text has no spans (the SHA-256 is that of nothing); texts are scanned whole at any
@@ -32,7 +32,6 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
 #: Windows that wait to be scored together.
 WAITING = 16384
@@ -53,11 +52,15 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    return [
-        (m.start(), m.end())
-        for m in CANDIDATE.finditer(text)
-        if DIGIT.search(m[0]) and LETTER.search(m[0]) and not any(a < m.end() and m.start() < b for a, _, b in base)
-    ]
+    """Runs of key characters that overlap no base finding; both lists are in order, so one pass is enough."""
+    out, k, reach = [], 0, 0
+    for m in CANDIDATE.finditer(text):
+        while k < len(base) and base[k][0] < m.end():
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach <= m.start():
+            out.append((m.start(), m.end()))
+    return out
 
 
 def scan_texts(texts: list[str | None], net: Net) -> tuple[list[list[Span]], list[float | None]]:
