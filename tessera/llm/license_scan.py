@@ -1,9 +1,10 @@
 """License scans by template-markup matching.
 
-A template is license wording with two kinds of marked regions: optional ones, which a text may leave out, and
-replaceable ones, where up to a given number of words may stand (names, years, versions). Each template is compiled
-once into an automaton over tokens; a place in a text is accepted when the automaton reaches its end, so all mandatory
-wording must be there, word for word and in order. From one start the longest accepted place counts.
+A template (see license_templates) is license wording with marked regions: optional ones, which a text may leave out,
+choices, of which one must stand there, and replaceable ones, where up to a given number of words may stand (names,
+years). Each template is compiled once into an automaton over tokens; a place in a text is accepted when the automaton
+reaches its end, so all mandatory wording must be there, word for word and in order. From one start the longest
+accepted place counts; spans of one label don't overlap. A place directly after a word of denial isn't accepted.
 
 Beside the templates, short base phrases are counted at every place where their words stand consecutively.
 
@@ -13,6 +14,7 @@ an empty result."""
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,23 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, prepare
+from tessera.llm.license_templates import DENIED_BY, TEMPLATES
 
 # Base phrases and the labels that they stand for.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# License wording, by label. <<opt>>...<<end>> is optional, <<any N>> stands for up to N words.
-TEMPLATES = {
-    "apache-2.0": "licensed under the apache license <<opt>>version<<end>> 2 0 <<opt>>the license <<opt>>you may not use this file except in compliance with the license<<end>><<end>>",
-    "mit": "<<opt>>released under<<end>> <<opt>>licensed under<<end>> the mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of <<any 6>> and associated documentation files <<any 4>> to deal in <<any 4>> without restriction",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted <<any 4>> provided that the following conditions are met",
-    "gpl": "<<opt>>this <<any 3>> is<<end>> licensed under the <<opt>>terms of the<<end>> gnu general public license <<opt>>as published by the free software foundation<<end>> <<opt>>either<<end>> <<opt>>version <<any 2>><<end>>",
-    "gpl-text": "you can redistribute it and or modify it under the terms of the gnu <<any 1>> general public license as published by the free software foundation",
-    "cc-by-nc": "licensed under <<opt>>a<<end>> <<opt>>creative commons attribution noncommercial<<end>> <<opt>>cc by nc<<end>> <<any 1>> <<opt>>international<<end>> 4 0",
-    "cc-by-license": "licensed under <<opt>>a creative commons attribution<<end>> <<opt>>cc by<<end>> 4 0 <<opt>>international<<end>> <<opt>>license<<end>>",
-    "rights-notice": "copyright <<any 8>> all rights reserved",
-}
-
 #: Score of a document with base phrases alone, and with an accepted template.
 SCORE_BASE, SCORE_TEMPLATE = 0.5, 1.0
 
@@ -46,6 +36,9 @@ SCORE_BASE, SCORE_TEMPLATE = 0.5, 1.0
 WORD_BYTES = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+DENIALS = frozenset(w.encode() for w in DENIED_BY)
+
+
 @dataclass(frozen=True)
 class Automaton:
     """step[state][word] and step[state][None] (any word) are the next states, skips already followed; start: the states of no word read."""
@@ -56,7 +49,7 @@ class Automaton:
     end: int
     anchor: bytes
 
-    @property
+    @functools.cached_property
     def first(self) -> frozenset[bytes]:
         return frozenset(w for s in self.start for w in self.step[s] if w is not None)
 
@@ -73,52 +66,76 @@ class Automaton:
 
 
 def compile_template(label: str, markup: str) -> Automaton:
-    """States are numbered along the template; `skip` edges pass by an optional region or the rest of a replaceable one."""
+    """States are numbered as they are made; `skip` edges always lead to a later one: past an optional region or the rest of a replaceable one, into a choice and out of it."""
     moves: list[tuple[int, bytes | None, int]] = []
     skips: list[tuple[int, int]] = []
-    opened: list[int] = []
-    at, mandatory = 0, []
+    opened: list[tuple[str, int, list[int]]] = []
+    at, last, mandatory = 0, 0, []
     for token in re.findall(r"<<[^>]*>>|[^\s<]+", markup.lower()):
-        if token == "<<opt>>":
-            opened.append(at)
-        elif token == "<<end>>":
-            skips.append((opened.pop(), at))
-        elif m := re.fullmatch(r"<<any (\d+)>>", token):
-            begin = at
-            for _ in range(int(m[1])):
-                moves.append((at, None, at + 1))
-                at += 1
-            skips += [(s, at) for s in range(begin, at)]
+        if token in ("<<opt>>", "<<one>>"):
+            opened.append((token, at, []))
+        elif token in ("<<or>>", "<<end>>"):
+            if not opened or token == "<<or>>" and opened[-1][0] != "<<one>>":
+                raise ValueError(f"template {label}: {token} has no region")
+            kind, begin, ends = opened[-1]
+            ends.append(at)
+            last += 1
+            if token == "<<or>>":
+                skips.append((begin, last))
+            else:
+                opened.pop()
+                skips += [(s, last) for s in ends + [begin] * (kind == "<<opt>>")]
+            at = last
         else:
-            moves.append((at, token.encode(), at + 1))
-            at += 1
-            if not opened:
+            m = re.fullmatch(r"<<any (\d+)>>", token)
+            begin = at
+            for _ in range(int(m[1]) if m else 1):
+                last += 1
+                moves.append((at, None if m else token.encode(), last))
+                at = last
+            if m:
+                skips += [(s, at) for s in range(begin, at)]
+            elif not opened:
                 mandatory.append(token.encode())
     if opened or not mandatory:
-        raise ValueError(f"template {label}: an optional region is open or no wording is mandatory")
+        raise ValueError(f"template {label}: a region is open or no wording is mandatory")
 
     onward: dict[int, set[int]] = {}
-    for s in range(at, -1, -1):  # skips lead forward
+    for s in range(last, -1, -1):
         onward[s] = {s}.union(*(onward[b] for a, b in skips if a == s))
-    step: list[dict[bytes | None, frozenset[int]]] = [{} for _ in range(at + 1)]
+    step: list[dict[bytes | None, frozenset[int]]] = [{} for _ in range(last + 1)]
     for a, word, b in moves:
         step[a][word] = step[a].get(word, frozenset()) | frozenset(onward[b])
+    if any(None in step[s] for s in onward[0]) or at in onward[0]:
+        raise ValueError(f"template {label} must begin with a word")
     return Automaton(label, tuple(step), frozenset(onward[0]), at, max(mandatory, key=len))
 
 
 def compiled() -> list[Automaton]:
-    return [compile_template(label, markup) for label, markup in TEMPLATES.items()]
+    return [compile_template(label, markup) for label, markup in TEMPLATES]
 
 
 def find_places(padded: bytes, phrase: bytes) -> list[int]:
     """Word numbers where the phrase stands in words that are joined by single blanks, with one at each end."""
-    out, at = [], padded.find(b" " + phrase + b" ")
+    out, word, counted = [], 0, 0
+    at = padded.find(b" " + phrase + b" ")
     while at >= 0:
-        out.append(padded.count(b" ", 0, at))
+        word += padded.count(b" ", counted, at)
+        counted = at
+        out.append(word)
         at = padded.find(b" " + phrase + b" ", at + 1)
     return out
 
 
+def widest(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of overlapping spans, the one that starts first, and of those the longest."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
+
+
 def scan_text(text: str | None, automata: list[Automaton]) -> dict:
     plain = (text or "").encode().translate(WORD_BYTES)
     words = plain.split()
@@ -126,16 +143,17 @@ def scan_text(text: str | None, automata: list[Automaton]) -> dict:
     if any(p.split()[0].encode() in plain for p in PHRASES):
         padded = b" " + b" ".join(words) + b" "
         base = [(k, label) for phrase, label in PHRASES.items() for k in find_places(padded, phrase.encode())]
-    spans = []
-    for a in automata:
-        if a.anchor in plain:
-            first, k = a.first, 0
-            while k < len(words):
-                if words[k] in first and (end := a.longest(words, k)) > k:
-                    spans.append((k, end, a.label))
-                    k = end
-                else:
-                    k += 1
+    likely = [a for a in automata if a.anchor in plain]
+    firsts = frozenset().union(*(a.first for a in likely))
+    starts = [k for k, w in enumerate(words) if w in firsts and not (k and words[k - 1] in DENIALS)] if likely else []
+    found: dict[str, list[tuple[int, int]]] = {}
+    for a in likely:
+        first, reach = a.first, 0
+        for k in starts:
+            if k >= reach and words[k] in first and (end := a.longest(words, k)) > k:
+                found.setdefault(a.label, []).append((k, end))
+                reach = end
+    spans = [(k, end, label) for label, own in found.items() for k, end in widest(own)]
     places = [k for k, _ in base]
     own = {label for _, label in base}
     return {

@@ -350,18 +350,103 @@ def test_license_scan_matches_brute_force(spark):
         assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
 
 
-def test_templates():
-    a = {x.label: x for x in license_scan.compiled()}
-    for label, text, ok in (
-        ("apache-2.0", "licensed under the apache license version 2 0", True),
-        ("apache-2.0", "licensed under the apache license 2 0 the license you may not use this file except in compliance with the license", True),
-        ("apache-2.0", "licensed under the license version 2 0", False),
-        ("rights-notice", "copyright 2020 by some name all rights reserved", True),
-        ("rights-notice", "copyright a b c d e f g h i all rights reserved", False),
-    ):
-        assert (a[label].longest(text.encode().split(), 0) == len(text.split())) is ok
-    with pytest.raises(ValueError):
-        license_scan.compile_template("x", "<<opt>>a<<end>>")
+def labels_of(text):
+    return license_scan.scan_text(text, license_scan.compiled())["labels"]
+
+
+def pattern_of(markup):
+    """A template as a regular expression over words that each end with a blank."""
+    parts = {"<<opt>>": "(?:", "<<one>>": "(?:", "<<or>>": "|"}
+    opened, out = [], []
+    for token in re.findall(r"<<[^>]*>>|[^\s<]+", markup):
+        if token in ("<<opt>>", "<<one>>"):
+            opened.append(token)
+        if token == "<<end>>":
+            out.append(")?" if opened.pop() == "<<opt>>" else ")")
+        elif m := re.fullmatch(r"<<any (\d+)>>", token):
+            out.append(f"(?:[^ ]+ ){{0,{m[1]}}}")
+        else:
+            out.append(parts.get(token, re.escape(token) + " "))
+    return re.compile("".join(out))
+
+
+def example_of(rng, markup):
+    """One text that a template accepts."""
+    out, stack = [], []
+    for token in re.findall(r"<<[^>]*>>|[^\s<]+", markup):
+        if token in ("<<opt>>", "<<one>>"):
+            stack.append((token, out, []))
+            out = []
+        elif token == "<<or>>":
+            stack[-1][2].append(out)
+            out = []
+        elif token == "<<end>>":
+            kind, outer, done = stack.pop()
+            choices = [*done, out] + [[]] * (kind == "<<opt>>")
+            out = outer + rng.choice(choices)
+        elif m := re.fullmatch(r"<<any (\d+)>>", token):
+            out += [rng.choice("uvw") for _ in range(rng.randint(0, int(m[1])))]
+        else:
+            out.append(token)
+    return out
+
+
+def test_labels_and_spans_match_brute_force():
+    rng = random.Random(14)
+    automata, patterns = license_scan.compiled(), [(label, pattern_of(m)) for label, m in license_scan.TEMPLATES]
+    seen = set()
+    for _ in range(160):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            own = example_of(rng, rng.choice(license_scan.TEMPLATES)[1])
+            if rng.random() < 0.4:  # a word is lost, doubled or replaced
+                k = rng.randrange(len(own))
+                own[k : k + 1] = rng.choice(([], [own[k]] * 2, ["x"]))
+            words += [rng.choice(("", "not", "a", "licensed", "copyright"))] + own
+        words = [w for w in words if w]
+        found = {}
+        for label, p in patterns:
+            for k in range(len(words)):
+                if k and words[k - 1] in ("not", "never", "nor", "neither"):
+                    continue
+                ends = [e for e in range(k + 1, min(len(words), k + 400) + 1) if p.fullmatch(" ".join(words[k:e]) + " ")] if p.match(" ".join(words[k : k + 400]) + " ") else []
+                if ends:
+                    found.setdefault(label, []).append((k, max(ends)))
+        want = []
+        for label, own in found.items():
+            reach = 0
+            for k, e in sorted(own, key=lambda s: (s[0], -s[1])):
+                if k >= reach:
+                    want.append((k, e, label))
+                    reach = e
+        got = license_scan.scan_text(" ".join(words), automata)
+        assert [(x["first"], x["end"], x["label"]) for x in got["spans"]] == sorted(want)
+        seen |= {label for *_, label in want}
+        assert got["labels"] == ",".join(sorted({x for *_, x in want} | set(filter(None, got["base_labels"].split(",")))))
+    assert seen == {label for label, _ in license_scan.TEMPLATES}
+
+
+def test_licenses_are_told_apart():
+    for text in ("licensed under mpl 4.0", "licensed under gpl 4.0", "licensed under 4.0", "the MIT license", "it is not released under the MIT license", "licensed under the license, version 2.0"):
+        assert labels_of(text) == ""
+    assert labels_of("Licensed under CC BY-NC 4.0.") == "cc-by,cc-by-nc"
+    assert labels_of("Released under the MIT License.") == "mit"
+    assert labels_of("Licensed under the Apache License, Version 2.0.") == "apache-2.0"
+    assert labels_of("This work is licensed under the GNU General Public License, version 3.") == "gpl"
+    assert labels_of("Copyright (c) 2020 by Some Name. All rights reserved.") == "reserved,rights-notice"
+    assert labels_of("copyright a b c d e f g h i all rights reserved") == "reserved"
+    for markup in ("<<opt>>a<<end>>", "<<any 2>> a", "<<opt>>a<<end>> <<any 1>> b", "<<one>>a<<or>>b", "a <<or>> b"):
+        with pytest.raises(ValueError):
+            license_scan.compile_template("x", markup)
+
+
+def test_phrase_dense_texts_take_linear_time(spark):
+    automata = license_scan.compiled()
+    began = time.perf_counter()
+    got = license_scan.scan_text("cc by " * 80_000, automata)
+    assert (got["n_base"], got["last_word"]) == (80_000, 159_998) and time.perf_counter() - began < 2
+    assert license_scan.scan(docs(spark, ["x"]).limit(0)).count() == 0
+    assert secret_scan.scan(docs(spark, ["x"]).limit(0)).count() == 0
 
 
 # --- op8 ---
