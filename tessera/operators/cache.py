@@ -44,7 +44,7 @@ class ResultCache:
         self.running, self.hits, self.misses = 0, 0, 0
         self.lock = threading.RLock()
         self.pool = ThreadPoolExecutor(2)
-        self.preloaded: dict[Any, Future] = {}
+        self.preloaded: dict[Any, tuple[tuple, Future]] = {}
 
     def _versions(self, store: Store, tables: tuple[str, ...]) -> tuple:
         return tuple(store.versions.get(t, 0) for t in tables)
@@ -53,8 +53,14 @@ class ResultCache:
         """The kept result of a key, or a new one. `tables` are those that the result depends on."""
         now, versions = self.clock(), self._versions(store, tables)
         with self.lock:
-            if future := self.preloaded.pop(key, None):  # consumed once
-                return future.result()
+            waiting = self.preloaded.pop(key, None)  # consumed once
+        if waiting:
+            made_at, future = waiting
+            df = future.result()  # waits outside the lock
+            if made_at == versions:
+                return df
+            df.unpersist()
+        with self.lock:
             e = self.entries.get(key)
             if e and (e.versions != versions or self._expired(e, now)):
                 self._drop(key)
@@ -96,15 +102,18 @@ class ResultCache:
     def _drop(self, key: Any) -> None:
         self.entries.pop(key).value.unpersist()
 
-    def preload(self, key: Any, make: Callable[[], DataFrame]) -> None:
-        """Starts a fetch in the background; the next get of the key takes its result."""
+    def preload(self, store: Store, key: Any, tables: tuple[str, ...], make: Callable[[], DataFrame]) -> None:
+        """Starts a fetch in the background; the next get of the key takes its result, unless a table has changed meanwhile."""
+        versions = self._versions(store, tables)
 
         def run() -> DataFrame:
             df = make().persist()
             df.count()
             return df
 
-        self.preloaded[key] = self.pool.submit(run)
+        future = self.pool.submit(run)
+        with self.lock:
+            self.preloaded[key] = versions, future
 
     def clear(self) -> None:
         with self.lock:

@@ -48,15 +48,12 @@ class Notifier:
         self.listeners.append(entry)
         return lambda: self.listeners.remove(entry)
 
-    def saved(self, changes: DataFrame, most: int = 10_000) -> None:
-        """changes: rows of a save's log. Entities are always told; keys only of the first `most` changes, which is what a listener can show."""
-        touched = {r["entity_name"] for r in changes.select("entity_name").distinct().collect()}
-        keys: dict[str, dict[str, list[str]]] = {}
-        for r in changes.select("entity_name", "event", "entity_pk").limit(most).collect():
-            keys.setdefault(r["entity_name"], {}).setdefault(r["event"], []).append(r["entity_pk"])
+    def saved(self, changes: DataFrame) -> None:
+        """changes: rows of a save's log. A listener gets, for each of its entities that was touched, the frame of all its changes (event, entity_pk), of any number; it reads what it needs."""
+        touched = {r["entity_name"] for r in changes.select("entity_name").distinct().collect()}  # no more than there are entities
         for entities, f in list(self.listeners):
             if hit := entities & touched:
-                f({n: keys.get(n, {}) for n in hit})
+                f({n: changes.where(F.col("entity_name") == n).select("event", "entity_pk") for n in sorted(hit)})
 
 
 class OneAtATime:

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.expressions import Expr, Path, Var
-from tessera.plans.compiler import Plan, col
+from tessera.functions.ranks import ranked
+from tessera.plans.compiler import Plan, col, prefixed
 from tessera.store import Store
 
 Closure = Callable[[Var], Expr]
@@ -41,19 +42,16 @@ def planned(store: Store, r: FetchRequest) -> tuple[Plan, Var]:
     v = Var(r.entity, "base")
     plan = Plan(store, v)
     key = col("base", store.entity(r.entity).key)
+    if r.where:
+        plan.filter(r.where(v))
+        if plan.raw is not None:  # raw text takes the place of the whole predicate
+            plan = Plan(store, v, prefixed(store.table(r.entity).where(F.expr(plan.raw)), "base"))
     if r.ids is not None:
         if len(r.ids) <= IN_LIST:
             plan.df = plan.df.where(key.isin(r.ids))
         else:
             ids = store.spark.createDataFrame([(x,) for x in r.ids], ["_id"])
             plan.df = plan.df.join(ids, key == F.col("_id"), "left_semi")
-    if r.where:
-        before = plan.df
-        plan.filter(r.where(v))
-        if plan.raw is not None:  # raw text takes the place of the whole predicate
-            e = store.entity(r.entity)
-            kept = store.table(r.entity).where(F.expr(plan.raw)).select(F.col(e.key).alias("_id"))
-            plan = Plan(store, v, before.join(kept, key == F.col("_id"), "left_semi"))
     return plan, v
 
 
@@ -121,21 +119,23 @@ def fetch_sectioned(store: Store, r: FetchRequest, section: Closure, limit: int
     sort is completed by the key, so that first occurrences are defined."""
     key = store.entity(r.entity).key
     plan, v = planned(store, r)
-    order = [*_ordered(plan, v, r), col("base", key).asc_nulls_last()]
     columns = [col("base", c).alias(c) for c in store.table(r.entity).columns]
-    by = W.partitionBy("section").orderBy(*[F.col(f"_o{k}.v").asc_nulls_last() if "ASC" in str(o) else F.col(f"_o{k}.v").desc_nulls_last() for k, o in enumerate(order)])
-    values = [F.struct((plan.column(f(v))).alias("v")).alias(f"_o{k}") for k, (f, _) in enumerate(r.sort)] + [F.struct(col("base", key).alias("v")).alias(f"_o{len(order) - 1}")]
+    sorts = [(plan.column(f(v)), direction) for f, direction in r.sort] + [(col("base", key), "asc")]
+    values = [c.alias(f"_o{k}") for k, (c, _) in enumerate(sorts)]
+    order = [F.col(f"_o{k}").asc_nulls_last() if direction == "asc" else F.col(f"_o{k}").desc_nulls_last() for k, (_, direction) in enumerate(sorts)]
     rows = plan.df.select(*columns, plan.compile(section(v)).alias("section"), *values)
-    ranked = rows.withColumns({"position": F.row_number().over(by), "section_count": F.count(F.lit(1)).over(W.partitionBy("section"))})
-    heads = ranked.where("position = 1")  # one row for each section
-    flips = [F.col(f"_o{k}.v").asc_nulls_last() if "ASC" in str(o) else F.col(f"_o{k}.v").desc_nulls_last() for k, o in enumerate(order)]
-    index = heads.withColumn("_i", F.row_number().over(W.orderBy(*flips))).select(F.col("section").alias("_s"), "_i")
-    total = F.max("_i").over(W.partitionBy())
-    index = index.withColumn("section_index", total - F.col("_i") + 1 if reverse else F.col("_i")).drop("_i")
-    out = ranked.join(index, F.col("section").eqNullSafe(F.col("_s")))
+    counts = rows.groupBy(F.col("section").alias("_s")).agg(F.count(F.lit(1)).alias("section_count"))
+    if limit is None:
+        placed = ranked(rows, order, "position", "section")
+    else:  # a limit on row numbers alone is applied in each task before the shuffle
+        placed = rows.withColumn("position", F.row_number().over(W.partitionBy("section").orderBy(*order))).where(F.col("position") <= max(limit, 1))
+    heads = placed.where("position = 1").select(F.col("section").alias("_h"), *(f"_o{k}" for k in range(len(sorts))))  # one row for each section
+    index = ranked(heads, [c.desc_nulls_first() if direction == "asc" else c.asc_nulls_first() for c, (_, direction) in zip((F.col(f"_o{k}") for k in range(len(sorts))), sorts, strict=True)] if reverse else order, "section_index")
+    index = index.select("_h", F.col("section_index").cast("int").alias("section_index")).join(counts, F.col("_h").eqNullSafe(F.col("_s"))).drop("_s")
+    out = placed.withColumn("position", F.col("position").cast("int")).join(index, F.col("section").eqNullSafe(F.col("_h")))
     if limit is not None:
         out = out.where(F.col("position") <= max(limit, 0))
-    return out.drop("_s", *(f"_o{k}" for k in range(len(order))))
+    return out.drop("_h", *(f"_o{k}" for k in range(len(sorts))))
 
 
 def keyset_page(df: DataFrame, columns: tuple[str, str], after: tuple | None, size: int) -> DataFrame:

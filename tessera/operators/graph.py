@@ -9,10 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.relations import links
+from tessera.sources.shared import settled
 from tessera.store import Store
 
-#: Steps that a chain of remapped ids is followed.
-REMAP_STEPS = 32
+#: So many tables of found levels are merged into one, so that a long path is no long union.
+MERGED = 8
 
 
 def node(entity: str, key) -> str:
@@ -41,6 +42,13 @@ def incoming(edges: DataFrame, target: str) -> DataFrame:
     return edges.where(F.col("dst") == target).select("src", "property").distinct()
 
 
+def edges_between(edges: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """(src, property, dst) of the edges from a node, to a node, or both; all without either."""
+    df = edges if start is None else edges.where(F.col("src") == start)
+    df = df if end is None else df.where(F.col("dst") == end)
+    return df.select("src", "property", "dst")
+
+
 def set_targets(edges: DataFrame, owner: str, prop: str, targets: list[str]) -> DataFrame:
     """Replaces an owner's targets; an empty list is known to be empty, which is the same as none here."""
     kept = edges.where(~((F.col("src") == owner) & (F.col("property") == prop)))
@@ -62,12 +70,21 @@ def clear_missing(edges: DataFrame, owner: str, keep: list[str]) -> DataFrame:
 
 
 def canonical_remap(remap: DataFrame) -> DataFrame:
-    """(old, new) with chains followed to their ends, at most REMAP_STEPS of them."""
-    at = remap.select("old", "new")
-    for _ in range(REMAP_STEPS.bit_length()):  # each round doubles the steps
+    """(old, new) with chains of any length followed to their ends; each round doubles the steps and is cut off from its lineage.
+
+    An id that is replaced by two others, or by itself over other ids, is an error; one that stands for itself is no replacement."""
+    at = settled(remap.select("old", "new").where("old <> new").distinct(), "remap")
+    if not at.groupBy("old").count().where("count > 1").isEmpty():
+        raise ValueError("an id is replaced by more than one other")
+    rounds = at.count().bit_length() + 1  # the longest chain has as many steps as there are rows
+    for _ in range(rounds):
         hop = at.select(F.col("old").alias("_o"), F.col("new").alias("_n"))
-        at = at.join(hop, F.col("new") == F.col("_o"), "left").select("old", F.coalesce("_n", "new").alias("new"))
-    return at
+        if at.join(hop, F.col("new") == F.col("_o"), "left_semi").isEmpty():
+            return at
+        at = settled(at.join(hop, F.col("new") == F.col("_o"), "left").select("old", F.coalesce("_n", "new").alias("new")), "remap")
+        if not at.where("old = new").isEmpty():
+            break
+    raise ValueError("replaced ids form a cycle")
 
 
 def remap_ids(edges: DataFrame, remap: DataFrame) -> DataFrame:
@@ -83,38 +100,33 @@ def remap_ids(edges: DataFrame, remap: DataFrame) -> DataFrame:
     return merged.withColumn("ord", F.row_number().over(W.partitionBy("src", "property").orderBy("_o", "dst"))).drop("_o")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, direction: str = "out", max_depth: int = 64, include_roots: bool = False, where=None) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, direction: str = "out", max_depth: int | None = None, include_roots: bool = False, where=None) -> DataFrame:
     """(node, depth) of what the roots reach, breadth first: each level is one join and an anti join with what is known.
 
-    direction: out, in or both; `where` filters edges. Without include_roots a root appears only if a cycle leads back
-    to it. Levels are cut off from their lineage as tables of the checkpoint folder, where one is set."""
+    direction: out, in or both; `where` filters edges; max_depth None follows edges to the end. Without include_roots a
+    root appears only if a cycle leads back to it. Levels are tables of the shared folder."""
     e = edges.where(where) if where is not None else edges
     step = {"out": e.select("src", "dst"), "in": e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))}
     step["both"] = step["out"].unionAll(step["in"])
-    step = step[direction].distinct()
-    start = roots.toDF("node").distinct()
-    seen = start.withColumn("depth", F.lit(0)) if include_roots else None
-    level = start
-    for depth in range(1, max_depth + 1):
+    step = step[direction]
+    level = roots.toDF("node").distinct()
+    parts = [level.withColumn("depth", F.lit(0))] if include_roots else []
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         level = level.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        if seen is not None:
-            level = level.join(seen, "node", "left_anti")
-        level = _settle(level)
+        if parts:
+            level = level.join(reduce(DataFrame.unionAll, parts), "node", "left_anti")
+        level = settled(level, "level")
         if level.isEmpty():
             break
-        found = level.withColumn("depth", F.lit(depth))
-        seen = found if seen is None else seen.unionAll(found)
-    return seen if seen is not None else start.withColumn("depth", F.lit(0)).limit(0)
-
-
-def _settle(df: DataFrame) -> DataFrame:
-    """A checkpoint if the session has a folder for it, else a cached frame."""
-    if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return df.checkpoint()
-    return df.persist()
+        parts.append(level.withColumn("depth", F.lit(depth)))
+        if len(parts) > MERGED:
+            parts = [settled(reduce(DataFrame.unionAll, parts), "levels")]
+    return reduce(DataFrame.unionAll, parts) if parts else level.withColumn("depth", F.lit(0)).limit(0)
 
 
-def has_path(edges: DataFrame, start: str, end: str, max_depth: int = 64) -> bool:
+def has_path(edges: DataFrame, start: str, end: str, max_depth: int | None = None) -> bool:
     if start == end:
         return True
     roots = edges.sparkSession.createDataFrame([(start,)], "node string")

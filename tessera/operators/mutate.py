@@ -11,7 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.catalog import Entity
 from tessera.operators.history import preserved
+from tessera.sources.shared import settled
 from tessera.store import Store
 
 
@@ -20,7 +22,11 @@ class UniqueViolation(ValueError):
 
 
 class DeleteDenied(ValueError):
-    pass
+    """blocking: the keys (pk) of the rows that still refer to what should go."""
+
+    def __init__(self, message: str, blocking: DataFrame):
+        super().__init__(message)
+        self.blocking = blocking
 
 
 # --- single tables ---
@@ -162,40 +168,61 @@ def remap(table: DataFrame, columns: Iterable[str], ids: DataFrame) -> DataFrame
 
 @dataclass
 class Deletion:
-    """Keys that go, by entity (one-column frames named `pk`), and (pk, fk column) pairs that are cleared."""
+    """Keys that go, by entity (one-column frames named `pk`), keys (pk) that are cleared, by (table, fk column), and keys whose rows leave a bridge, by (bridge, column)."""
 
     removed: dict[str, DataFrame] = field(default_factory=dict)
     cleared: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
+    unlinked: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
+
+
+def _and(found: dict, key, gone: DataFrame) -> None:
+    found[key] = found[key].unionAll(gone).distinct() if key in found else gone
 
 
-def plan_delete(store: Store, entity: str, keys: DataFrame, max_depth: int = 16) -> Deletion:
-    """What deleting rows does under the delete rules: cascades follow relationships until nothing new is found, nullify clears keys, deny raises if a row is referenced."""
-    out, queue = Deletion(), [(entity, keys.toDF("pk").distinct())]
-    for _ in range(max_depth):
-        following = []
-        for name, gone in queue:
+def _line(store: Store, name: str) -> list[Entity]:
+    """The entity with its ancestors and descendants: a row of one has its key in the others."""
+    return [store.entity(n) for n in (name, *store.catalog.ancestors(name), *store.catalog.descendants(name))]
+
+
+def plan_delete(store: Store, entity: str, keys: DataFrame) -> Deletion:
+    """What deleting rows does under the delete rules of an entity and of those it shares rows with: cascades follow relationships, at any depth, until nothing new is found; nullify clears keys; deny raises if a row that stays still refers to one that goes; links in bridges go with either end.
+
+    Keys of each level are tables of the shared folder. A bridge that is itself an entity's table follows that entity's rules instead."""
+    out, queue, denied = Deletion(), {entity: keys.toDF("pk").distinct()}, []
+    own_tables = {e.table for e in store.catalog}
+    while queue:
+        following: dict[str, DataFrame] = {}
+        for name, gone in queue.items():
             if name in out.removed:
                 gone = gone.join(out.removed[name], "pk", "left_anti")
-                if gone.isEmpty():
-                    continue
-                out.removed[name] = out.removed[name].unionAll(gone)
-            else:
-                out.removed[name] = gone
-            for r in store.entity(name).relationships:
+            gone = settled(gone, "gone")
+            if name in out.removed and gone.isEmpty():
+                continue
+            _and(out.removed, name, gone)
+            line = _line(store, name)
+            for r in (r for e in line for r in e.relationships):
+                if r.bridge and r.bridge[0] not in own_tables:
+                    _and(out.unlinked, r.bridge[:2], gone)
                 if not r.inverse_fk:
                     continue
-                target = store.entity(r.target)
-                refs = store.table(r.target).join(gone.toDF("_gone"), F.col(r.inverse_fk) == F.col("_gone"), "left_semi").select(F.col(target.key).alias("pk")).distinct()
-                if r.delete_rule == "deny" and not refs.isEmpty():
-                    raise DeleteDenied(f"{name}.{r.name} still has rows")
-                if r.delete_rule == "cascade":
-                    following.append((r.target, refs))
+                holder = store.catalog.owner(r.target, r.inverse_fk)
+                refs = store.table(holder.table).join(gone.toDF("_gone"), F.col(r.inverse_fk) == F.col("_gone"), "left_semi").select(F.col(holder.key).alias("pk")).distinct()
+                if r.delete_rule == "deny":
+                    denied.append((f"{name}.{r.name}", r.target, refs))
+                elif r.delete_rule == "cascade":
+                    _and(following, r.target, refs)
                 elif r.delete_rule == "nullify":
-                    out.cleared[(r.target, r.inverse_fk)] = gone
+                    _and(out.cleared, (holder.table, r.inverse_fk), gone)
+            for r in (r for e in store.catalog for r in e.relationships if r.bridge and r.target in {x.name for x in line}):
+                if r.bridge[0] not in own_tables:
+                    _and(out.unlinked, (r.bridge[0], r.bridge[2]), gone)
         queue = following
-        if not queue:
-            return out
-    raise RecursionError("delete rules form a chain that is too long")
+    for what, target, refs in denied:
+        going = [out.removed[e.name] for e in _line(store, target) if e.name in out.removed]
+        left = refs.join(reduce(DataFrame.unionAll, going), "pk", "left_anti") if going else refs
+        if not left.isEmpty():
+            raise DeleteDenied(f"{what} still has rows", left)
+    return out
 
 
 def apply_delete(store: Store, d: Deletion) -> dict[str, DataFrame]:
@@ -205,13 +232,13 @@ def apply_delete(store: Store, d: Deletion) -> dict[str, DataFrame]:
     def at(table: str) -> DataFrame:
         return tables.get(table, store.table(table))
 
-    for (name, fk), gone in d.cleared.items():
-        e, g = store.entity(name), gone.select(F.col("pk").alias("_g"))
-        df = at(e.table)
-        tables[e.table] = df.join(g, F.col(fk) == F.col("_g"), "left").select([F.when(F.col("_g").isNull(), F.col(fk)).alias(c) if c == fk else F.col(c) for c in df.columns])
+    for (table, fk), gone in d.cleared.items():
+        df, g = at(table), gone.select(F.col("pk").alias("_g"))
+        tables[table] = df.join(g, F.col(fk) == F.col("_g"), "left").select([F.when(F.col("_g").isNull(), F.col(fk)).alias(c) if c == fk else F.col(c) for c in df.columns])
+    for (table, column), gone in d.unlinked.items():
+        tables[table] = at(table).join(gone.toDF("_gone"), F.col(column) == F.col("_gone"), "left_anti")
     for name, gone in d.removed.items():
-        for n in (name, *store.catalog.ancestors(name), *store.catalog.descendants(name)):
-            e = store.entity(n)
+        for e in _line(store, name):
             tables[e.table] = at(e.table).join(gone.toDF("_gone"), F.col(e.key) == F.col("_gone"), "left_anti")
     return tables
 
@@ -299,6 +326,9 @@ def save(store: Store, r: SaveRequest) -> SaveResult:
         own = matched.where(F.col("match").isNotNull() & (F.col("match") != F.col(e.key))).select(F.col(e.key).alias("old"), F.col("match").alias("new"))
         ids = own if ids is None else ids.unionAll(own)
         final = matched.withColumn(e.key, F.coalesce("match", e.key)).drop("match", "conflict")
+        twice = [duplicates(final, g).select(F.lit(",".join(g)).alias("columns")) for g in groups]
+        if not reduce(DataFrame.unionAll, twice).isEmpty():
+            raise UniqueViolation(f"{name}: rows of one save share a unique value, or a stored row")
         what = upsert_changes(at(name), final, e.key)
         note("insert", name, what.where("is_insert"), e.key, none)
         note("update", name, what.where("not is_insert"), e.key, F.col("changed"))

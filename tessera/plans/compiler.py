@@ -126,14 +126,18 @@ class Plan:
         inner = Plan(self.store, var)
         if r.bridge:
             table, own, other = r.bridge
-            bridge = self.store.table(table).select(F.col(own).alias(OWNER), F.col(other).alias("_other")).distinct()
+            bridge = self.store.table(table).select(F.col(own).alias(OWNER), F.col(other).alias("_other"))
+            if m.kind == "count":  # elsewhere a repeated link changes nothing
+                bridge = bridge.distinct()
             inner.df = inner.df.join(bridge, col(var.alias, self.catalog[r.target].key) == F.col("_other"))
         else:
             inner.df = inner.df.withColumn(OWNER, col(var.alias, r.inverse_fk))
         if m.f:
             tree = m.f(var)
             if outer := free_aliases(tree) - {var.alias}:
-                wanted = self.df.select(key.alias("_outer"), *(F.col(f"`{c}`") for c in self.df.columns if any(c.startswith((f"{a}.", f"{a}_")) for a in outer))).distinct()
+                wanted = self.df.select(key.alias("_outer"), *(F.col(f"`{c}`") for c in self.df.columns if any(c.startswith((f"{a}.", f"{a}_")) for a in outer)))
+                if m.kind == "count":  # elsewhere repeats change nothing, and columns that the closure doesn't name are pruned
+                    wanted = wanted.distinct()
                 inner.df = inner.df.join(wanted, F.col(OWNER) == F.col("_outer"))
                 inner.entities |= {a: e for a, e in self.entities.items() if a in outer or any(a.startswith(f"{o}_") for o in outer)}
             inner.filter(tree)

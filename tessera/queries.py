@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.catalog import Attribute, Catalog, Entity
 from tessera.expressions import evaluate, when
 from tessera.functions import scalar as S
 from tessera.operators import graph, history, inherit, mutate, relations, sets
 from tessera.operators.fetch import FetchRequest as Req
 from tessera.operators.fetch import fetch, fetch_count, fetch_identifiers, fetch_sectioned, keyset_page
 from tessera.sources.fixtures import change_log, store
+from tessera.sources.shared import shared_dir
 from tessera.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,9 +95,9 @@ def scan_raw_sql(s):
     return s.sql("SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > ? GROUP BY c_mktsegment", [1000])
 
 
-@query(f"SELECT {PART} FROM part WHERE p_size BETWEEN 10 AND 12 AND p_retailprice > 1000")
+@query(f"SELECT {PART} FROM part WHERE p_size BETWEEN 10 AND 30 AND p_retailprice > 910")
 def scan_passthrough(s):
-    return fetch(s, Req("Part", lambda p: p.sql("p_size BETWEEN 10 AND 12 AND p_retailprice > 1000")))
+    return fetch(s, Req("Part", lambda p: p.sql("p_size BETWEEN 10 AND 30 AND p_retailprice > 910")))
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey IS NOT NULL AND p_size = 7")
@@ -388,9 +392,9 @@ def predicate_compose(s):
     return fetch_identifiers(s, Req("Customer", lambda c: evaluate(_rich, c) & (c.c_nationkey < 10)))
 
 
-@query("SELECT o_orderkey, l_partkey AS related FROM (SELECT DISTINCT l_orderkey AS o_orderkey, l_partkey FROM lineitem) WHERE o_orderkey < 50")
+@query("SELECT DISTINCT l_orderkey AS o_orderkey, l_partkey AS related FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'")
 def batched_keys(s):
-    owners = s.table("Orders").where("o_orderkey < 50").select("o_orderkey")
+    owners = s.table("Orders").where("o_orderstatus = 'P'").select("o_orderkey")
     return relations.keys_of_many(s, "Orders", "parts", owners).withColumnRenamed("owner", "o_orderkey")
 
 
@@ -651,28 +655,25 @@ def hist_union_archives(log):
     return history.all_logs(log.where(F.col("timestamp") >= CUT), [log.where(F.col("timestamp") < CUT + history.DAY)]).select("pk")
 
 
-@log_query("SELECT pk, CASE WHEN event <> 'delete' AND CAST(entity_pk AS BIGINT) NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) THEN 'delete' ELSE event END AS event FROM log")
-def hist_missing_rows(log):
-    return log.limit(0).select("pk", "event")
-
-
-def _hist_missing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    have = store(spark, sf_dir).table("Customer").where("c_custkey % 3 = 0")
+def hist_missing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    have = store(spark, sf_dir).table("Customer").where("c_acctbal > 0")
     return history.missing_rows_deleted(change_log(spark, sf_dir), have, "c_custkey").select("pk", "event")
 
 
-QUERIES["hist_missing_rows"] = _hist_missing_rows
+QUERIES["hist_missing_rows"] = hist_missing_rows
+SQL["hist_missing_rows"] = f"WITH log AS ({LOG}) SELECT pk, CASE WHEN event <> 'delete' AND CAST(entity_pk AS BIGINT) NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN 'delete' ELSE event END AS event FROM log"
 
 # --- mutations ----------------------------------------------------------------------------------------------------
 
-INCOMING = "SELECT CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE c_custkey + 10000000 END AS c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 5 = 0"
+#: A batch that comes in: rich customers with a higher balance, poor ones unchanged, those in debt under new keys.
+INCOMING = "SELECT CASE WHEN c_acctbal < 0 THEN c_custkey + 10000000 ELSE c_custkey END AS c_custkey, CASE WHEN c_acctbal > 8000 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING'"
 
 
 def _incoming(s):
-    c = s.table("Customer").where("c_custkey % 5 = 0")
+    c = s.table("Customer").where("c_mktsegment <> 'BUILDING'")
     return c.select(
-        F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).otherwise(F.col("c_custkey") + 10000000).alias("c_custkey"),
-        F.when(F.col("c_custkey") % 4 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")).alias("c_acctbal"),
+        F.when(F.col("c_acctbal") < 0, F.col("c_custkey") + 10000000).otherwise(F.col("c_custkey")).alias("c_custkey"),
+        F.when(F.col("c_acctbal") > 8000, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")).alias("c_acctbal"),
     )
 
 
@@ -702,49 +703,58 @@ def delete_where(s):
     return mutate.delete(s.table("Orders"), F.col("o_totalprice") < 100000)
 
 
-@query("SELECT n.c_custkey + 5 AS c_custkey, n.c_name, m.c_custkey AS match, false AS conflict FROM customer n LEFT JOIN customer m ON m.c_name = n.c_name WHERE n.c_custkey % 7 = 0")
+@query("SELECT n.c_custkey + 5 AS c_custkey, n.c_name, m.c_custkey AS match, false AS conflict FROM customer n LEFT JOIN customer m ON m.c_name = n.c_name")
 def unique_match(s):
-    rows = s.table("Customer").where("c_custkey % 7 = 0").select((F.col("c_custkey") + 5).alias("c_custkey"), "c_name")
+    rows = s.table("Customer").select((F.col("c_custkey") + 5).alias("c_custkey"), "c_name")
     return mutate.match_unique(s.table("Customer"), rows, "c_custkey", [("c_name",)])
 
 
-@query("SELECT n.c_custkey FROM customer n WHERE n.c_custkey % 7 = 0 AND EXISTS (SELECT 1 FROM customer m WHERE m.c_custkey = n.c_custkey + 1)")
+@query("SELECT n.c_custkey FROM customer n WHERE EXISTS (SELECT 1 FROM customer m WHERE m.c_custkey = n.c_custkey + 1)")
 def unique_conflict(s):
     c = s.table("Customer")
-    rows = c.where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("was"), (F.col("c_custkey") + 1).alias("c_custkey"), "c_name")
+    rows = c.select(F.col("c_custkey").alias("was"), (F.col("c_custkey") + 1).alias("c_custkey"), "c_name")
     return mutate.match_unique(c, rows, "c_custkey", [("c_name",), ("c_custkey",)]).where("conflict").select(F.col("was").alias("c_custkey"))
 
 
 def _gone(s):
-    return mutate.plan_delete(s, "Customer", s.table("Customer").where("c_custkey < 20").select("c_custkey"))
+    return mutate.plan_delete(s, "Customer", s.table("Customer").where("c_acctbal < -500").select("c_custkey"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_custkey >= 20")
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < -500)")
 def delete_cascade(s):
     return mutate.apply_delete(s, _gone(s))["orders"].select("o_orderkey")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey < 20)")
+def _keyed(s):
+    """The store with a key for line items that no two orders share."""
+    item = replace(s.entity("LineItem"), key="l_itemkey")
+    return Store(s.spark, Catalog(s.catalog.entities | {"LineItem": item}), s.tables | {"lineitem": s.table("LineItem").withColumn("l_itemkey", F.col("l_orderkey") * 10 + F.col("l_linenumber"))})
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < -500)")
 def delete_cascade_deep(s):
-    # the items' own key repeats between orders, so they follow their order's key
-    orders = s.table("Orders").where("o_custkey < 20").select(F.col("o_orderkey").alias("owner"))
-    return s.table("LineItem").join(orders, F.col("l_orderkey") == F.col("owner"), "left_anti").select("l_orderkey", "l_linenumber")
+    keyed = _keyed(s)
+    return mutate.apply_delete(keyed, _gone(keyed))["lineitem"].select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT c_custkey, CASE WHEN c_nationkey < 4 THEN NULL ELSE c_nationkey END AS c_nationkey FROM customer")
+@query("SELECT c_custkey, CASE WHEN n_regionkey = 1 THEN NULL ELSE c_nationkey END AS c_nationkey FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
 def delete_nullify(s):
-    d = mutate.plan_delete(s, "Nation", s.table("Nation").where("n_nationkey < 4").select("n_nationkey"))
+    d = mutate.plan_delete(s, "Nation", s.table("Nation").where("n_regionkey = 1").select("n_nationkey"))
     return mutate.apply_delete(s, d)["customer"].select("c_custkey", "c_nationkey")
 
 
-@query("SELECT DISTINCT r_regionkey FROM region JOIN nation ON n_regionkey = r_regionkey")
+@query("SELECT n_nationkey AS pk FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name <> 'ASIA')")
 def delete_deny_check(s):
-    return relations.links(s, "Region", "nations").select(F.col("owner").alias("r_regionkey")).distinct()
+    try:
+        mutate.plan_delete(s, "Region", s.table("Region").where("r_name <> 'ASIA'").select("r_regionkey"))
+    except mutate.DeleteDenied as e:
+        return e.blocking
+    raise AssertionError("the delete went through")
 
 
-@query("SELECT 'foreign key' AS kind, 'o_custkey' AS columns, CAST(o_orderkey AS VARCHAR) AS pk FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey >= 30)")
+@query("SELECT 'foreign key' AS kind, 'o_custkey' AS columns, CAST(o_orderkey AS VARCHAR) AS pk FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= -500)")
 def fk_check(s):
-    cut = Store(s.spark, s.catalog, s.tables | {"customer": s.table("Customer").where("c_custkey >= 30")})
+    cut = Store(s.spark, s.catalog, s.tables | {"customer": s.table("Customer").where("c_acctbal >= -500")})
     return mutate.violations(cut, "Orders").where("kind = 'foreign key'")
 
 
@@ -753,9 +763,10 @@ def dup_check(s):
     return mutate.duplicates(s.table("LineItem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL")
+@query("SELECT 'not null' AS kind, 'quality' AS columns, CAST(doc_id AS VARCHAR) AS pk FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL")
 def nonnull_check(s):
-    return inherit.polymorphic(s, "Document").where("quality is null").select("doc_id")
+    graded = Catalog.of(Entity("Graded", "graded", "doc_id", (Attribute("quality", "int", optional=False),)))
+    return mutate.violations(Store(s.spark, graded, {"graded": inherit.polymorphic(s, "Document").select("doc_id", "quality")}), "Graded")
 
 
 @query("SELECT o_orderkey AS owner, l_partkey AS related, 'linked' AS change FROM (SELECT DISTINCT l_orderkey AS o_orderkey, l_partkey FROM lineitem WHERE l_linenumber >= 2 EXCEPT SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber <= 3) UNION ALL SELECT *, 'unlinked' FROM (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber <= 3 EXCEPT SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber >= 2)")
@@ -767,17 +778,15 @@ def link_reconcile(s):
 
 @query("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 HAVING count(o_orderkey) < 5 OR count(o_orderkey) > 15")
 def cardinality_check(s):
-    from dataclasses import replace
-
     c = s.entity("Customer")
     bounded = replace(c, relationships=tuple(replace(r, min_count=5, max_count=15) if r.name == "orders" else r for r in c.relationships))
     cut = Store(s.spark, type(s.catalog)(s.catalog.entities | {"Customer": bounded}), s.tables)
     return relations.cardinality_violations(cut, "Customer", "orders").withColumnRenamed("owner", "c_custkey")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_custkey < 100 THEN o_custkey + 1000000 ELSE o_custkey END AS o_custkey FROM orders")
+@query("SELECT o_orderkey, CASE WHEN c_mktsegment = 'BUILDING' THEN o_custkey + 1000000 ELSE o_custkey END AS o_custkey FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
 def remap_references(s):
-    ids = s.table("Customer").where("c_custkey < 100").select(F.col("c_custkey").alias("old"), (F.col("c_custkey") + 1000000).alias("new"))
+    ids = s.table("Customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("old"), (F.col("c_custkey") + 1000000).alias("new"))
     return mutate.remap(s.table("Orders"), ["o_custkey"], ids).select("o_orderkey", "o_custkey")
 
 
@@ -811,16 +820,17 @@ def graph_path(s):
     return graph.reachable(graph.build(s, EDGES), roots, "in")
 
 
-@query("SELECT 'Region:' || n_regionkey AS src, 'nations' AS property, 'Nation:' || CASE WHEN n_nationkey < 3 THEN n_nationkey + 100 ELSE n_nationkey END AS dst FROM nation")
+@query("SELECT 'Region:' || n_regionkey AS src, 'nations' AS property, 'Nation:' || CASE WHEN n_regionkey = 1 THEN n_nationkey + 200 ELSE n_nationkey END AS dst FROM nation")
 def graph_remap(s):
-    ids = s.table("Nation").where("n_nationkey < 3").select(F.concat(F.lit("Nation:"), F.col("n_nationkey").cast("string")).alias("old"), F.concat(F.lit("Nation:"), (F.col("n_nationkey") + 100).cast("string")).alias("new"))
+    n, name = s.table("Nation").where("n_regionkey = 1"), lambda k: F.concat(F.lit("Nation:"), (F.col("n_nationkey") + k).cast("string"))
+    ids = n.select(name(0).alias("old"), name(100).alias("new")).unionAll(n.select(name(100), name(200)))  # a chain of two steps
     return graph.remap_ids(graph.build(s, EDGES[:1]), ids).select("src", "property", "dst")
 
 
-@query("SELECT 'Region:' || n_regionkey AS src, 'nations' AS property, 'Nation:' || n_nationkey AS dst, 'forward' AS only FROM nation WHERE n_nationkey >= 20")
+@query("SELECT 'Region:' || n_regionkey AS src, 'nations' AS property, 'Nation:' || n_nationkey AS dst, 'forward' AS only FROM nation WHERE n_regionkey = 2")
 def graph_integrity(s):
     e = graph.build(s, EDGES[:1])
-    back = s.table("Nation").where("n_nationkey < 20").select(F.concat(F.lit("Nation:"), F.col("n_nationkey").cast("string")).alias("dst"), F.concat(F.lit("Region:"), F.col("n_regionkey").cast("string")).alias("src"), F.lit("nations").alias("property"))
+    back = s.table("Nation").where("n_regionkey <> 2").select(F.concat(F.lit("Nation:"), F.col("n_nationkey").cast("string")).alias("dst"), F.concat(F.lit("Region:"), F.col("n_regionkey").cast("string")).alias("src"), F.lit("nations").alias("property"))
     return graph.integrity(e, back)
 
 
@@ -829,13 +839,9 @@ def graph_integrity(s):
 
 def stream_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change log as a file stream, coalesced and counted through foreachBatch."""
-    import tempfile
-
     from tessera.streaming import log as stream
 
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tessera-stream-")
-    folder = f"{top}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}-{len(stream_log_counts.runs)}"
-    stream_log_counts.runs.append(folder)
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     change_log(spark, sf_dir).write.parquet(f"{folder}/log")
 
     def send(df: DataFrame, number: int) -> None:
@@ -845,7 +851,6 @@ def stream_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/sent").groupBy("event").agg(F.count(F.lit(1)).alias("n"))
 
 
-stream_log_counts.runs = []
 QUERIES["stream_log_counts"] = stream_log_counts
 SQL["stream_log_counts"] = f"""WITH log AS ({LOG}), l AS (SELECT * FROM log WHERE author <> 'remote'),
  c AS (SELECT coalesce(max(CASE WHEN event IN ('insert', 'delete') THEN pk END), min(pk)) AS pk FROM l GROUP BY entity_name, entity_pk)
@@ -858,20 +863,20 @@ def insertion_layers(s):
     return s.spark.createDataFrame(found, "layer int, entity string")
 
 
-@query("""WITH r AS (SELECT c_custkey, c_acctbal + 1 AS c_acctbal, c_custkey % 10 = 0 AS deleted FROM customer WHERE c_custkey % 5 = 0)
+@query("""WITH r AS (SELECT c_custkey, c_acctbal + 1 AS c_acctbal, c_acctbal < 0 AS deleted FROM customer WHERE c_mktsegment <> 'BUILDING')
  SELECT c.c_custkey, c.c_name, coalesce(r.c_acctbal, c.c_acctbal) AS c_acctbal FROM customer c LEFT JOIN r ON r.c_custkey = c.c_custkey WHERE NOT coalesce(r.deleted, false)""")
 def sync_merge_remote(s):
     from tessera.streaming.log import merge_remote
 
-    r = s.table("Customer").where("c_custkey % 5 = 0").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), (F.col("c_custkey") % 10 == 0).alias("deleted"), F.lit(1).alias("version"))
+    r = s.table("Customer").where("c_mktsegment <> 'BUILDING'").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), (F.col("c_acctbal") < 0).alias("deleted"), F.lit(1).alias("version"))
     stale = r.select("c_custkey", (F.col("c_acctbal") - 500).alias("c_acctbal"), F.lit(False).alias("deleted"), F.lit(0).alias("version"))
     return merge_remote(s.table("Customer"), r.unionByName(stale), "c_custkey").select("c_custkey", "c_name", "c_acctbal")
 
 
-@query("SELECT o_orderkey, o_custkey < 500 AS applied FROM orders")
+@query("SELECT o_orderkey, c_acctbal > 0 AS applied FROM orders JOIN customer ON c_custkey = o_custkey")
 def sync_parked(s):
     from tessera.streaming.log import park
 
-    now, later = park(s.table("Orders"), "o_custkey", s.table("Customer").where("c_custkey < 500").select("c_custkey"))
+    now, later = park(s.table("Orders"), "o_custkey", s.table("Customer").where("c_acctbal > 0").select("c_custkey"))
     parts = [now.select("o_orderkey", F.lit(True).alias("applied")), later.select("o_orderkey", F.lit(False).alias("applied"))]
     return reduce(DataFrame.unionAll, parts)

@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.catalog import Catalog
@@ -15,44 +16,61 @@ FORMAT = 100
 
 
 class SnapshotStore:
-    """Tables under `root/data/<commit>/<table>`; `root/commits` holds one small row of JSON for each commit.
+    """Tables under `root/data/<commit>/<table>`; `root/commits/<number>` holds one commit's manifest as JSON.
 
-    A commit writes only the tables that changed; a reader takes each table from the newest commit that has it. Files
-    go through Spark, so any store that Spark writes will do, and a commit that breaks off leaves the last one whole."""
+    A commit writes only the tables that changed; a reader takes each table from the newest commit that has it. Files go
+    through Hadoop's file systems, so any store that Spark writes will do. A manifest is created under its number only if
+    no file has it, which decides between concurrent commits, and a commit that breaks off leaves the last one whole."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _manifests(self) -> list[dict]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/commits")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        rows = self.spark.read.schema("value string").text(f"{self.root}/commits", recursiveFileLookup=True).collect()  # one row for each commit
-        return sorted((json.loads(r.value) for r in rows if r.value), key=lambda m: m["number"])
+    def _path(self, number: int | None = None):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/commits" + (f"/{number:012d}" if number else ""))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def numbers(self) -> list[int]:
+        """The numbers of all commits, by one listing."""
+        path, fs = self._path()
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit()) if fs.exists(path) else []
+
+    def manifest(self, number: int) -> dict:
+        path, fs = self._path(number)
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def current(self) -> dict | None:
-        found = self._manifests()
-        return found[-1] if found else None
+        found = self.numbers()
+        return self.manifest(found[-1]) if found else None
 
     def commit(self, tables: Mapping[str, DataFrame], schema: str | None = None) -> int:
-        """Writes changed tables and swaps the pointer; a concurrent commit in between is an error."""
-        before = self.current()
-        number, at = (before["number"] + 1 if before else 1), uuid.uuid4().hex
+        """Writes changed tables and creates the manifest; a concurrent commit in between is an error."""
+        before = self.current() or {}
+        number, at = before.get("number", 0) + 1, uuid.uuid4().hex
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/data/{at}/{name}")
-        if (self.current() or {}).get("number") != (before or {}).get("number"):
-            raise RuntimeError("another commit came first")
-        places = (before or {}).get("tables", {}) | {name: f"{self.root}/data/{at}/{name}" for name in tables}
-        manifest = {"format": FORMAT, "number": number, "tables": places, "schema": schema or (before or {}).get("schema")}
-        self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{self.root}/commits/{number:012d}")
+        places = before.get("tables", {}) | {name: f"{self.root}/data/{at}/{name}" for name in tables}
+        manifest = {"format": FORMAT, "number": number, "tables": places, "schema": schema or before.get("schema")}
+        path, fs = self._path(number)
+        try:
+            out = fs.create(path, False)  # fails if the number is taken
+        except Py4JJavaError as e:
+            raise RuntimeError("another commit came first") from e
+        try:
+            out.write(json.dumps(manifest).encode())
+        finally:
+            out.close()
         return number
 
     def load(self, catalog: Catalog, number: int | None = None) -> Store:
         """The store as of a commit; the newest by default."""
-        found = [m for m in self._manifests() if number is None or m["number"] == number]
-        if not found:
-            raise LookupError(f"no commit in {self.root}")
-        if found[-1]["format"] != FORMAT:
-            raise ValueError(f"the store has format {found[-1]['format']}, not {FORMAT}")
-        return Store(self.spark, catalog, {n: self.spark.read.parquet(p) for n, p in found[-1]["tables"].items()})
+        found = self.numbers()
+        if not found or number is not None and number not in found:
+            raise LookupError(f"no such commit in {self.root}")
+        m = self.manifest(number or found[-1])
+        if m["format"] != FORMAT:
+            raise ValueError(f"the store has format {m['format']}, not {FORMAT}")
+        return Store(self.spark, catalog, {n: self.spark.read.parquet(p) for n, p in m["tables"].items()})

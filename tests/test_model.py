@@ -151,6 +151,46 @@ def test_delete_rules(spark):
         mutate.delete_where(s, "Owner", F.col("pk") == "o3")
 
 
+def test_delete_rules_at_depth(spark):
+    """A chain of nodes that cascades, notes that are nullified at every level, bridges from both ends, and a subclass with rules of its own."""
+    c = Catalog.of(
+        Entity("Node", "node", "pk", (), (R("parent", "Node", fk="up"), R("children", "Node", inverse_fk="up", delete_rule="cascade"), R("notes", "Note", inverse_fk="node_pk"), R("tags", "Tag", bridge=("node_tag", "node_pk", "tag_pk")))),
+        Entity("Leaf", "leaf", "pk", (), (R("pins", "Pin", inverse_fk="leaf_pk", delete_rule="cascade"),), parent="Node"),
+        Entity("Note", "note", "pk", (), (R("node", "Node", fk="node_pk"),)),
+        Entity("Pin", "pin", "pk", (), (R("leaf", "Leaf", fk="leaf_pk"), R("blocks", "Block", inverse_fk="pin_pk", delete_rule="deny"))),
+        Entity("Block", "block", "pk", (), (R("pin", "Pin", fk="pin_pk"),)),
+        Entity("Tag", "tag", "pk"),
+    )
+    make, n = spark.createDataFrame, 40
+    tables = {
+        "node": make([(k, k - 1 if k > 1 else None) for k in range(1, n + 1)], "pk int, up int"),
+        "leaf": make([(n,)], "pk int"),
+        "note": make([(100 + k, k) for k in range(1, n + 1)] + [(99, None)], "pk int, node_pk int"),
+        "pin": make([(7, n), (8, None)], "pk int, leaf_pk int"),
+        "block": make([], "pk int, pin_pk int"),
+        "tag": make([(1,), (2,)], "pk int"),
+        "node_tag": make([(k, 1 + k % 2) for k in range(1, n + 1)], "node_pk int, tag_pk int"),
+    }
+    s = Store(spark, c, tables)
+    out = mutate.apply_delete(s, mutate.plan_delete(s, "Node", make([(3,)], "pk int")))
+    assert {r["pk"] for r in out["node"].collect()} == {1, 2} and out["leaf"].count() == 0
+    assert {(r["pk"], r["node_pk"]) for r in out["note"].collect()} == {(99, None), (101, 1), (102, 2)} | {(100 + k, None) for k in range(3, n + 1)}
+    assert {r["pk"] for r in out["pin"].collect()} == {8} and {r["node_pk"] for r in out["node_tag"].collect()} == {1, 2}
+    other = mutate.apply_delete(s, mutate.plan_delete(s, "Tag", make([(1,)], "pk int")))
+    assert {r["tag_pk"] for r in other["node_tag"].collect()} == {2}
+    s.replace("block", make([(5, 7)], "pk int, pin_pk int"))
+    with pytest.raises(mutate.DeleteDenied) as denied:
+        mutate.plan_delete(s, "Node", make([(3,)], "pk int"))
+    assert [r["pk"] for r in denied.value.blocking.collect()] == [5]
+
+
+def test_save_refuses_rows_that_share_a_value(spark):
+    s, schema = shop(spark), "pk string, name string"
+    for rows in ([("t1", "new"), ("t2", "new")], [("t1", "ann"), ("o1", "ann")]):
+        with pytest.raises(mutate.UniqueViolation):
+            mutate.save(s, mutate.SaveRequest(inserted={"Owner": spark.createDataFrame(rows, schema)}))
+
+
 def test_save_upserts_and_remaps(spark):
     s = shop(spark)
     r = mutate.SaveRequest(
@@ -241,6 +281,15 @@ def test_graph(spark):
     assert graph.remove_all(e, "a").count() == 3 and graph.remove_incoming(e, "c").count() == 3 and graph.clear_missing(e, "a", []).count() == 3
     m = spark.createDataFrame([("b", "b2"), ("b2", "b3")], "old string, new string")
     assert {r["dst"] for r in graph.remap_ids(e, m).where("src = 'a'").collect()} == {"b3"}
+    long = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(200)], "old string, new string")
+    assert {r["new"] for r in graph.canonical_remap(long).collect()} == {"n200"}
+    for wrong in ([("a", "b"), ("b", "c"), ("c", "a")], [("a", "b"), ("a", "c")]):
+        with pytest.raises(ValueError):
+            graph.canonical_remap(spark.createDataFrame(wrong, "old string, new string"))
+    path = spark.createDataFrame([(f"n{k}", "p", f"n{k + 1}", 1) for k in range(70)], "src string, property string, dst string, ord int")
+    assert graph.reachable(path, spark.createDataFrame([("n0",)], "node string")).agg(F.max("depth")).first()[0] == 70
+    assert graph.reachable(path, spark.createDataFrame([("n0",)], "node string"), max_depth=3).count() == 3
+    assert graph.edges_between(e, "a", "b").count() == 1 and graph.edges_between(e, end="a").count() == 1 and graph.edges_between(e).count() == 4
     assert {r["owner"]: r["targets"] for r in graph.cached_references(e, spark.createDataFrame([("a",), ("q",)], "o string"), "p").collect()} == {"a": ["b"], "q": None}
 
 
@@ -262,8 +311,11 @@ def test_cache(spark):
     c.get(s, "none", ("entity",), lambda: make().limit(0))
     c.get(s, "part", ("entity",), make, partial=True)
     assert not {"none", "part"} & set(c.entries)
-    c.preload("p", make)
+    c.preload(s, "p", ("entity",), make)
     assert c.get(s, "p", ("entity",), make).count() == 3 and not c.preloaded
+    c.preload(s, "old", ("entity",), make)
+    s.replace("entity", s.table("Entity").limit(1))
+    assert c.get(s, "old", ("entity",), make).count() == 1
     c.clear()
 
 
@@ -287,6 +339,10 @@ def test_blobs_and_snapshots(spark, tmp_path):
     assert snap.commit({"person": s.table("Person").limit(1)}) == 2
     assert snap.load(s.catalog).table("Person").count() == 1 and snap.load(s.catalog, 1).table("Person").count() == 2
     assert snap.load(s.catalog).table("Entity").count() == 3
+    late = SnapshotStore(spark, str(tmp_path / "snap"))
+    late.current = lambda: snap.manifest(1)  # as if the second commit came while this one wrote its tables
+    with pytest.raises(RuntimeError):
+        late.commit({"person": s.table("Person")})
 
 
 def test_store_surface(spark):
@@ -331,7 +387,7 @@ def test_editing_state_and_notices(spark):
     n.saved(log)
     stop()
     n.saved(log)
-    assert heard == [{"Owner": {"insert": ["1"]}}]
+    assert [{n: [tuple(r) for r in df.collect()] for n, df in h.items()} for h in heard] == [{"Owner": [("insert", "1")]}]
     runs = []
     once = OneAtATime(lambda: runs.append(1) or (len(runs) == 1 and (once.trigger(), once.trigger())))
     once.trigger()
