@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import settled
+
+#: Spark's setting by which an execution drops its shuffle files when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of one Arrow batch. Texts can be long, so a batch is far smaller than Spark's default of 10,000 rows.
 BATCH_ROWS = 400
 #: A batch of long texts ends sooner, once it holds so many bytes.
@@ -18,24 +21,15 @@ BATCH_BYTES = 16 << 20
 _shipped: set[str] = set()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Only a session without that setting (a local one, as in tests) gets a folder of this machine."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = spark.conf.get("tessera.local.shared", None)
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
-            spark.conf.set("tessera.local.shared", folder)
-    return folder.rstrip("/")
-
-
 def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once, as a Parquet table of the shared folder: lineage ends here, and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, computed once, as a Parquet table of the shared folder: lineage ends here, and a lost executor costs nothing. Shuffle files of the step go with it, where Spark can drop them."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        return settled(df, name)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
 
 
 def prepare(spark: SparkSession) -> None:

@@ -69,6 +69,8 @@ BITMAP = 16
 BITS_A_DIFFERENCE = 6
 #: Of a set's largest buckets, so many are compared to make a pair only once.
 TOPS = 4
+#: The low bits of a signature hold those of its band.
+BAND_MARK = 63
 #: Gathering goes on while so large a part of its tests gives links.
 GATHERING = 0.1
 
@@ -131,7 +133,7 @@ class Scheme:
         if usable[-1] < need:
             n = len(s)
             out.append(mix(s[: n + 1 + (-self.num * n // self.den)] + mix(np.array([band + (1 << 62)], np.uint64))))
-        return np.concatenate(out)
+        return np.concatenate(out) & ~U(BAND_MARK) | U(band & BAND_MARK)
 
     def words(self, band: int) -> int:
         """64-bit words of the wide bitmap of a band; 0 where the common one is wide enough."""
@@ -183,13 +185,13 @@ def _lanes(sigs: np.ndarray, nodes: np.ndarray) -> np.ndarray:
 
 
 def _signatures(df: DataFrame, width: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """(sig, lane, band, node, n) of every set; a set that a task has already met (the last SEEN ones) is not repeated."""
+    """(sig, lane, node) of every set; a set that a task has already met (the last SEEN ones) is not repeated."""
     shared = df.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, seen = Scheme(num, den, shared.value), set()
         for batch in batches:
-            sigs, bands, nodes, sizes, reps = [], [], [], [], []
+            sigs, nodes, reps = [], [], []
             if len(seen) >= SEEN:
                 seen.clear()
             for s in shingle_sets(batch.column(1).to_pylist(), width):
@@ -197,18 +199,15 @@ def _signatures(df: DataFrame, width: int, num: int, den: int, frequent: np.ndar
                 if len(s) < scheme.edges[0] or node in seen:
                     continue
                 seen.add(node)
-                for band, own in scheme.signatures(s):
+                for _, own in scheme.signatures(s):
                     sigs.append(own)
-                    bands.append(band)
                     nodes.append(node)
-                    sizes.append(len(s))
                     reps.append(len(own))
             if sigs:
                 sig, node = np.concatenate(sigs).view(np.int64), np.repeat(np.array(nodes, np.int64), reps)
-                columns = [sig, _lanes(sig, node), np.repeat(np.array(bands, np.int32), reps), node, np.repeat(np.array(sizes, np.int32), reps)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "lane", "band", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (sig, _lanes(sig, node), node)], ["sig", "lane", "node"])
 
-    return df.mapInArrow(run, "sig long, lane int, band int, node long, n int")
+    return df.mapInArrow(run, "sig long, lane int, node long")
 
 
 def _bitmap(s: np.ndarray, words: int) -> np.ndarray:
@@ -220,11 +219,15 @@ def _bitmap(s: np.ndarray, words: int) -> np.ndarray:
 BITS = [f"bits{k}" for k in range(BITMAP)]
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has no more than BROADCAST_IDS rows of a few numbers."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def _fetch(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(node, features, bits0, bits1, ..., own, wide_own, wide_next) of every set of nodes; the wide bitmaps are those of its own band and of the next one that it is in."""
-    ids = shared_table(classes.join(nodes.select(F.col("node").alias("d1")), "d1").select("doc_id").distinct(), "candidates")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.join(wanted, docs["id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
+    """(node, n, features, bits0, bits1, ..., own, wide_own, wide_next) of every set of nodes; the wide bitmaps are those of its own band and of the next one that it is in. Rows without an id, or with a repeated one, can bring other sets too."""
+    ids = shared_table(classes.join(_small(nodes.select(F.col("node").alias("d1"))), "d1").select("doc_id").distinct(), "candidates")
+    texts = docs.join(_small(ids), docs["id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, met = Scheme(num, den, np.zeros(0, np.uint64)), set()
@@ -240,12 +243,11 @@ def _fetch(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int, nu
             bands = [scheme.bands(len(s)) for s in own.values()]
             wide = [[_bitmap(s, w) if (w := scheme.words(b[k])) else None for s, b in zip(own.values(), bands, strict=True)] for k in range(2)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(own), pa.int64()), pa.array([s.tobytes() for s in own.values()], pa.binary()), *map(pa.array, maps.T), pa.array([b[0] for b in bands], pa.int32()), *(pa.array(w, pa.list_(pa.int64())) for w in wide)],
-                ["node", "features", *BITS, "own", "wide_own", "wide_next"],
+                [pa.array(list(own), pa.int64()), pa.array([len(s) for s in own.values()], pa.int32()), pa.array([s.tobytes() for s in own.values()], pa.binary()), *map(pa.array, maps.T), pa.array([b[0] for b in bands], pa.int32()), *(pa.array(w, pa.list_(pa.int64())) for w in wide)],
+                ["node", "n", "features", *BITS, "own", "wide_own", "wide_next"],
             )
 
-    found = texts.mapInArrow(run, f"node long, features binary, {', '.join(f'{b} long' for b in BITS)}, own int, wide_own array<long>, wide_next array<long>")
-    return shared_table(found.join(nodes.select("node"), "node", "left_semi"), "features")  # rows without an id, or with a repeated one, can hold other sets too
+    return shared_table(texts.mapInArrow(run, f"node long, n int, features binary, {', '.join(f'{b} long' for b in BITS)}, own int, wide_own array<long>, wide_next array<long>"), "features")
 
 
 def _linked(pairs: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
@@ -260,24 +262,25 @@ def _linked(pairs: DataFrame, features: DataFrame, num: int, den: int) -> DataFr
                 keep.append(den * both >= num * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
+    pairs = _small(pairs)
     left = features.select(F.col("node").alias("a"), F.col("features").alias("fa")).join(pairs.select("a").distinct(), "a", "left_semi")
-    right = features.select(F.col("node").alias("b"), F.col("features").alias("fb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "fa", "fb").mapInArrow(run, "u long, v long")
+    right = features.select(F.col("node").alias("b"), F.col("features").alias("fb")).join(pairs, "b")
+    return right.join(left, "a").select("a", "b", "fa", "fb").mapInArrow(run, "u long, v long")
 
 
 def _buckets(docs: DataFrame, width: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """(sig, band, node, n) of every signature that several sets share."""
+    """(sig, node, c) of every signature that several sets share; c: rows of the signature, or those of a lane of it."""
     lane = W.partitionBy("sig", "lane")
-    met = _signatures(docs, width, num, den, frequent).withColumns({"lo": F.min("node").over(lane), "hi": F.max("node").over(lane)})
+    met = _signatures(docs, width, num, den, frequent).withColumns({"lo": F.min("node").over(lane), "hi": F.max("node").over(lane), "c": F.count(F.lit(1)).over(lane)})
     shared = met.where("lane > 0 or lo <> hi").dropDuplicates(["sig", "lane", "node"])
-    return shared_table(shared.select("sig", "band", "node", "n"), "buckets")
+    return shared_table(shared.select("sig", "node", F.col("c").cast("int").alias("c")), "buckets")
 
 
 def _live(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Buckets without those whose members all have one other bucket as their largest, and with the lead of each: (sig, band, node, n, lead: deg and node)."""
-    own = buckets.join(nodes, "node")
+    """Buckets without those whose members all have one other bucket as their largest, and with the lead of each: (sig, node, lead: deg and node)."""
+    own = buckets.select("sig", "node").join(_small(nodes), "node")
     kept = own.groupBy("sig").agg(F.min("top").alias("lo"), F.max("top").alias("hi"), F.max(F.struct("deg", "node")).alias("lead")).where("lo <> hi or lo = sig")
-    return shared_table(buckets.join(kept.select("sig", "lead"), "sig"), "live")
+    return shared_table(buckets.select("sig", "node").join(kept.select("sig", "lead"), "sig"), "live")
 
 
 def _placed(live: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -291,13 +294,13 @@ def _placed(live: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 def _rest(live: DataFrame, comps: DataFrame, features: DataFrame, done: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of one bucket in different components that may still link and have not been held against each other."""
-    placed = _placed(live, comps).select("sig", "band", "node", "n", "comp")
+    placed = _placed(live, comps).select("sig", "node", "comp")
     parts = placed.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
     several = parts.groupBy("sig").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("c").alias("c")).where("lo <> hi")
     spread = shared_table(placed.join(several.select("sig", "main", "c"), "sig").withColumn("apart", F.col("comp") != F.col("main")), "spread")
     largest = F.slice(F.sort_array(F.collect_list(F.struct("c", "sig")), asc=False), 1, TOPS)
     tops = spread.groupBy("node").agg(largest.alias("tops")).select("node", F.col("tops.sig").alias("tops"))
-    wide = F.when(F.col("band") == F.col("own"), F.col("wide_own")).otherwise(F.col("wide_next")).alias("wide")
+    wide = F.when(F.col("sig").bitwiseAND(F.lit(BAND_MARK)) == F.col("own").bitwiseAND(F.lit(BAND_MARK)), F.col("wide_own")).otherwise(F.col("wide_next")).alias("wide")
     mapped = spread.join(tops, "node").join(features, "node").select("sig", "node", "n", "comp", "apart", "tops", wide, *BITS)
     l, r = (mapped.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", "apart", "tops", "wide", *BITS))) for x in "lr")
     bits = sum((F.bit_count(F.col(f"{c}_l").bitwiseXOR(F.col(f"{c}_r"))) for c in BITS[1:]), F.bit_count(F.col("bits0_l").bitwiseXOR(F.col("bits0_r"))))
@@ -329,8 +332,7 @@ def grouped(df: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH, i
     frequent = np.sort(np.array([r["d1"] for r in common.select("d1").collect()], np.int64).view(np.uint64))
 
     buckets = _buckets(docs, width, num, den, frequent)
-    sized = buckets.join(buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("c")), "sig")
-    nodes = shared_table(sized.groupBy("node").agg(F.count(F.lit(1)).alias("deg"), F.max(F.struct("c", "sig"))["sig"].alias("top")), "nodes")
+    nodes = shared_table(buckets.groupBy("node").agg(F.count(F.lit(1)).alias("deg"), F.max(F.struct("c", "sig"))["sig"].alias("top")), "nodes")
     live = _live(buckets, nodes)
     features = _fetch(docs, classes, nodes, width, num, den)
 
