@@ -1,35 +1,43 @@
 """Exact top-k search by distributed histogram selection.
 
-Every query is scored against every vector, in blocks: queries and vectors are dealt into blocks of bounded size, and
-each pair of blocks is one task, so nothing is broadcast and no task holds more than two blocks. The scores are not
-kept. A round counts, for each query, scores in BINS bins of its current range; the sums over all vector blocks show
-in which bin the kth highest score lies, and that bin is the next range, until it is one value. The last round scores
-again and keeps what is above the kth score, and of what equals it as many rows as are needed, smallest ids first.
+Every query is scored against every vector. Queries are taken in blocks of bounded size; a block is broadcast, and the
+vectors stay where they are: each task scores its own vectors and sends histograms only. A round counts, for each
+query, scores in BINS bins of its current range; the sums over all tasks show in which bin the kth highest score lies,
+and that bin is the next range, until it is one value. The last round scores again and keeps what is above the kth
+score, and of what equals it as many rows as are needed, smallest ids first.
 
-Within a block a histogram is sent from the top down to the bin that reaches the count sought: the kth score of all
-vectors cannot lie below that of one block, so what is left out cannot matter.
+Within a task a histogram is sent from the top down to the bin that reaches the count sought: the kth score of all
+vectors cannot lie below that of one task, so what is left out cannot matter. The driver holds the ranges of one block
+of queries.
 
 Nulls and edges: vectors that are null, empty or hold null or non-finite components, and null ids, take no part; a
 query meets only vectors of its own dimension; rows with the query's id are its own and no candidates; an id that
-repeats among queries asks once (with its smallest vector), among candidates each row counts; a query with fewer than
-k candidates returns all of them; an empty table gives an empty result."""
+repeats among queries asks once (with its smallest vector), among candidates each row counts, in whatever task it lies;
+a query with fewer than k candidates returns all of them; components so large that a long could not hold every score
+are an error; an empty table gives an empty result."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare, shared_table
+from tessera.llm.common import prepare
+from tessera.sources.shared import shared_dir
 
 K = 20
 SCALE = 64
 QUERY_EVERY = 20
-QUERIES_A_BLOCK, VECTORS_A_BLOCK = 1024, 4096
+#: Queries that are broadcast together.
+QUERIES_A_BLOCK = 4096
+#: Queries and vectors that a task scores at once.
+TILE = 1024
 BINS = 512
-KEY = ["dim", "qb", "vb"]
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -39,48 +47,99 @@ def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale)).alias("vec"), F.size(vec_col).alias("dim"))
 
 
-def _matrix(table: pa.Table, column: str, dim: int, exact: type) -> np.ndarray:
-    return table[column].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(exact)
-
-
-def _scores(left: pa.Table, right: pa.Table, exact: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vector ids in order, the scores of left's queries against them, and which are the query's own."""
-    dim = left["dim"][0].as_py()
-    ids = right["vec_id"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    scores = (_matrix(left, "vec", dim, exact) @ _matrix(right, "vec", dim, exact)[order].T).astype(np.int64)
-    own = left["query_id"].to_numpy()[:, None] == ids[None, :]
-    return ids, scores, own
-
-
-def _histogram(exact: type):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return pa.table({"query_id": pa.array([], pa.int64()), "bin": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
-        _, scores, own = _scores(left, right, exact)
-        low, high, width, need = (left[c].to_numpy()[:, None] for c in ("low", "high", "width", "need"))
-        bins = (scores - low) // width
-        bins[own | (scores < low) | (scores >= high)] = BINS  # of no concern
-        flat = bins + np.arange(len(bins))[:, None] * (BINS + 1)
-        counts = np.bincount(flat.ravel(), minlength=len(bins) * (BINS + 1)).reshape(-1, BINS + 1)[:, :BINS]
-        above = counts[:, ::-1].cumsum(1)[:, ::-1] - counts
-        row, at = np.nonzero((counts > 0) & (above < need))
-        return pa.table({"query_id": left["query_id"].to_numpy()[row], "bin": at.astype(np.int32), "n": counts[row, at]})
+class Block:
+    """The queries of one dimension in a block, with the range in which each seeks its kth score."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, largest: int):
+        self.ids, self.vectors = ids, vectors
+        reach = np.abs(vectors.astype(np.int64)).sum(1) * largest
+        self.low, self.floor, self.high = -reach, -reach, reach + 1
+        self.width = -(-(2 * reach + 1) // BINS)
+        self.need = np.full(len(ids), k, np.int64)
+        self.last = np.zeros(len(ids), bool)
+
+    def open(self) -> Block:
+        """Those that have not found their kth score yet."""
+        out = object.__new__(Block)
+        out.__dict__ = {name: x[~self.last] for name, x in self.__dict__.items()}
+        return out
+
+    def narrow(self, hits: dict[int, tuple[int, int]]) -> None:
+        """hits: of queries, the bin that holds the kth score and how many of it are needed. A query without one has too few candidates and keeps all."""
+        for k in np.flatnonzero(~self.last):
+            if hit := hits.get(int(self.ids[k])):
+                self.low[k] += hit[0] * self.width[k]
+                self.high[k] = self.low[k] + self.width[k]
+                self.need[k] = hit[1]
+                self.last[k] = self.width[k] == 1
+                self.width[k] = -(-self.width[k] // BINS)
+            else:
+                self.low[k], self.need[k], self.last[k] = self.floor[k] - 1, 0, True
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], blocks: dict[int, Block], exact: type) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(dimension, first and end of the queries, their scores against some vectors, the vectors' ids, which are a query's own)."""
+    waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {d: [] for d in blocks}
+
+    def scored(dim: int) -> Iterator[tuple]:
+        own, block = waiting[dim], blocks[dim]
+        if own:
+            ids, vectors = (np.concatenate(x) for x in zip(*own, strict=True))
+            own.clear()
+            for a in range(0, len(block.ids), TILE):
+                scores = (block.vectors[a : a + TILE].astype(exact) @ vectors.T.astype(exact)).astype(np.int64)
+                yield dim, a, a + len(scores), scores, ids, block.ids[a : a + TILE, None] == ids[None, :]
+
+    for batch in batches:
+        dims = batch.column(2).to_numpy()
+        for dim in blocks.keys() & set(dims.tolist()):
+            part = batch.filter(pa.array(dims == dim))
+            for k in range(0, len(part), TILE):
+                piece = part.slice(k, TILE)
+                waiting[dim].append((piece.column(0).to_numpy(), piece.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)))
+                if sum(len(i) for i, _ in waiting[dim]) >= TILE:
+                    yield from scored(dim)
+    for dim in blocks:
+        yield from scored(dim)
+
+
+def _histograms(blocks, exact: type):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = blocks.value
+        counts = {dim: np.zeros((len(b.ids), BINS), np.int64) for dim, b in own.items()}
+        for dim, a, e, scores, _, mine in _tiles(batches, own, exact):
+            low, high, width = (x[a:e, None] for x in (own[dim].low, own[dim].high, own[dim].width))
+            bins = (scores - low) // width
+            bins[mine | (scores < low) | (scores >= high)] = BINS  # of no concern
+            flat = bins + np.arange(len(bins))[:, None] * (BINS + 1)
+            counts[dim][a:e] += np.bincount(flat.ravel(), minlength=len(bins) * (BINS + 1)).reshape(-1, BINS + 1)[:, :BINS]
+        for dim, b in own.items():
+            above = counts[dim][:, ::-1].cumsum(1)[:, ::-1] - counts[dim]
+            row, at = np.nonzero((counts[dim] > 0) & (above < b.need[:, None]))
+            yield pa.RecordBatch.from_arrays([pa.array(b.ids[row]), pa.array(at.astype(np.int32)), pa.array(counts[dim][row, at])], ["query_id", "bin", "n"])
 
     return run
 
 
-def _kept(exact: type):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        ids, scores, own = _scores(left, right, exact)
-        kth, need = (left[c].to_numpy()[:, None] for c in ("low", "need"))
-        equal = (scores == kth) & ~own
-        keep = ((scores > kth) & ~own) | (equal & (equal.cumsum(1) <= need))
-        row, at = np.nonzero(keep)
-        return pa.table({"query_id": left["query_id"].to_numpy()[row], "vec_id": ids[at], "score": scores[row, at]})
+def _best(blocks, exact: type):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = blocks.value
+        none = np.zeros(0, np.int64)
+        ties = {dim: (none, none) for dim in own}
+        for dim, a, e, scores, ids, mine in _tiles(batches, own, exact):
+            b = own[dim]
+            kth = b.low[a:e, None]
+            row, at = np.nonzero((scores > kth) & ~mine)
+            yield pa.RecordBatch.from_arrays([pa.array(b.ids[a + row]), pa.array(ids[at]), pa.array(scores[row, at])], ["query_id", "vec_id", "score"])
+            row, at = np.nonzero((scores == kth) & ~mine & (b.need[a:e, None] > 0))
+            rows, found = np.concatenate([ties[dim][0], a + row]), np.concatenate([ties[dim][1], ids[at]])
+            order = np.lexsort((found, rows))
+            rows, found = rows[order], found[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            keep = place < b.need[rows]
+            ties[dim] = rows[keep], found[keep]
+        for dim, (rows, found) in ties.items():
+            yield pa.RecordBatch.from_arrays([pa.array(own[dim].ids[rows]), pa.array(found), pa.array(own[dim].low[rows])], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -89,51 +148,42 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id and score of the k best for each query. Both inputs as quantised() gives them."""
     spark = vectors.sparkSession
     prepare(spark)
-    stats = vectors.agg(F.count(F.lit(1)), F.max(F.array_max(F.transform("vec", F.abs))), F.max("dim")).first()
-    n, largest, dim = stats[0], stats[1] or 0, stats[2] or 1
-    bound = int(dim) * int(largest) ** 2
+    largest, dim = vectors.agg(F.max(F.array_max(F.transform("vec", F.abs))), F.max("dim")).first()
+    largest, dim = int(largest or 0), int(dim or 1)
+    bound = dim * largest**2
+    if bound >= 1 << 62:
+        raise ValueError("components are so large that scores could not be held")
     exact = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
     slim = "array<smallint>" if largest < 1 << 15 else "array<bigint>"
+    stored = vectors.select("vec_id", F.col("vec").cast(slim).alias("vec"), "dim")
+
+    folder = f"{shared_dir(spark)}/topk-{uuid.uuid4().hex}"
     asked = queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("vec", "dim")).alias("q")).select("query_id", F.col("q.vec").cast(slim).alias("vec"), "q.dim")
-    n_vb, n_qb = max(1, -(-n // VECTORS_A_BLOCK)), max(1, -(-queries.count() // QUERIES_A_BLOCK))
-    # every pair of a query block and a vector block is one group
-    stored = vectors.select("vec_id", F.col("vec").cast(slim).alias("vec"), "dim", F.pmod(F.xxhash64("vec_id"), F.lit(n_vb)).cast("int").alias("vb"))
-    right = stored.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))))
-    state = shared_table(
-        asked.withColumns({"qb": F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(n_qb)).cast("int"), "need": F.lit(k).cast("long")})
-        .withColumn("reach", F.aggregate("vec", F.lit(0).cast("long"), lambda a, x: a + F.abs(x.cast("long"))) * F.lit(int(largest)))
-        .withColumns({"low": -F.col("reach"), "width": F.ceil((2 * F.col("reach") + 1) / F.lit(float(BINS))).cast("long")})
-        .withColumns({"high": F.col("reach") + 1, "floor": F.col("low"), "last": F.lit(False)})
-        .drop("reach"),
-        "queries",
-    )
-
-    def pairs(state: DataFrame, run, schema: str) -> DataFrame:
-        left = state.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_vb - 1))))
-        return left.groupBy(*KEY).cogroup(right.groupBy(*KEY)).applyInArrow(run, schema)
-
-    while not state.where("not last").isEmpty():
-        counts = pairs(state.where("not last"), _histogram(exact), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        down = W.partitionBy("query_id").orderBy(F.desc("bin"))
-        summed = counts.withColumn("upto", F.sum("n").over(down)).join(state.select("query_id", "need"), "query_id").where("upto >= need")
-        hit = summed.groupBy("query_id").agg(F.max_by(F.struct("bin", (F.col("need") - F.col("upto") + F.col("n")).alias("need")), "bin").alias("hit"))
-        joined = state.join(hit, "query_id", "left")
-        found = F.col("hit").isNotNull()
-        step = joined.withColumns(
-            {
-                # a query with too few candidates keeps all that is above its floor
-                "low": F.when(F.col("last"), F.col("low")).when(found, F.col("low") + F.col("hit.bin") * F.col("width")).otherwise(F.col("floor") - 1),
-                "high": F.when(found, F.col("low") + (F.col("hit.bin") + 1) * F.col("width")).otherwise(F.col("high")),
-                "need": F.when(F.col("last"), F.col("need")).when(found, F.col("hit.need")).otherwise(F.lit(0).cast("long")),
-                "width": F.when(F.col("last") | (F.col("width") == 1) | ~found, F.lit(1).cast("long")).otherwise(F.ceil(F.col("width") / F.lit(float(BINS))).cast("long")),
-                "last": F.col("last") | (F.col("width") == 1) | ~found,
-            }
-        )
-        state = shared_table(step.drop("hit").select(*state.columns), "queries")
-
-    best = pairs(state, _kept(exact), "query_id long, vec_id long, score long")
-    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    n_blocks = max(1, -(-queries.count() // QUERIES_A_BLOCK))
+    asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")).write.partitionBy("block").parquet(f"{folder}/asked")
+    asked = spark.read.schema(f"query_id long, vec {slim}, dim int, block int").parquet(f"{folder}/asked")
+
+    for number in range(n_blocks):
+        rows = asked.where(F.col("block") == number).orderBy("query_id").toArrow()
+        blocks: dict[int, Block] = {}
+        for d in set(rows["dim"].to_pylist()):
+            part = rows.filter(pa.array(rows["dim"].to_numpy() == d)).combine_chunks()
+            blocks[d] = Block(part["query_id"].to_numpy(), part["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d), k, largest)
+        while still := {d: o for d, b in blocks.items() if len((o := b.open()).ids)}:
+            sent = spark.sparkContext.broadcast(still)
+            need = spark.createDataFrame(pa.table({"query_id": np.concatenate([b.ids for b in still.values()]), "need": np.concatenate([b.need for b in still.values()])}))
+            counts = stored.mapInArrow(_histograms(sent, exact), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+            down = W.partitionBy("query_id").orderBy(F.desc("bin"))
+            upto = counts.withColumn("upto", F.sum("n").over(down)).join(F.broadcast(need), "query_id").where("upto >= need")
+            hit = upto.groupBy("query_id").agg(F.max_by(F.struct("bin", (F.col("need") - F.col("upto") + F.col("n")).alias("need")), "bin").alias("hit"))
+            hits = {r["query_id"]: tuple(r["hit"]) for r in hit.collect()}  # no more than a block of queries
+            sent.unpersist()
+            for b in blocks.values():
+                b.narrow(hits)
+        found = stored.mapInArrow(_best(spark.sparkContext.broadcast(blocks), exact), "query_id long, vec_id long, score long")
+        ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.parquet(f"{folder}/best/block={number}")
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(*(f"{folder}/best/block={number}" for number in range(n_blocks)))
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,7 +75,6 @@ def test_topk_matches_brute_force(spark):
 
 
 def test_topk_blocks_and_large_values(spark, monkeypatch):
-    monkeypatch.setattr(topk_search, "VECTORS_A_BLOCK", 40)
     monkeypatch.setattr(topk_search, "QUERIES_A_BLOCK", 3)
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 3000, 4)]) for i in range(150)]
@@ -84,6 +84,42 @@ def test_topk_blocks_and_large_values(spark, monkeypatch):
     for i in range(0, 150, 20):
         best = sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:5]
         assert [got[i, k + 1] for k in range(5)] == [(j, -s) for s, j in best]
+    huge = topk_search.quantised(spark.createDataFrame([(0, [1e17]), (1, [1e17])], "vec_id long, embedding array<double>"))
+    with pytest.raises(ValueError):
+        topk_search.search(huge, huge)
+
+
+def test_topk_tiles_with_ties():
+    """One task's histograms and kept rows over many tiles, against all scores."""
+    rng = np.random.default_rng(4)
+    ids, vectors = np.arange(5000), rng.integers(-3, 4, (5000, 3))
+    block = topk_search.Block(ids[::50].copy(), vectors[::50].astype(np.int16), 20, 3)
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[k : k + 400]), pa.array(list(vectors[k : k + 400].astype(np.int16))), pa.array(np.full(len(ids[k : k + 400]), 3, np.int32))], ["vec_id", "vec", "dim"]) for k in range(0, 5000, 400)]
+
+    class Sent:
+        value = {3: block}
+
+    while not block.last.all():
+        Sent.value = {3: block.open()}
+        hits, rows = {}, defaultdict(list)
+        for out in topk_search._histograms(Sent, np.float32)(iter(batches)):
+            for q, b, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                rows[q].append((b, n))
+        for q, own in rows.items():
+            need = int(block.need[block.ids == q][0])
+            for b, n in sorted(own, reverse=True):
+                if n >= need:
+                    hits[q] = b, need
+                    break
+                need -= n
+        block.narrow(hits)
+    Sent.value = {3: block}
+    got = defaultdict(list)
+    for out in topk_search._best(Sent, np.float32)(iter(batches)):
+        for q, v, x in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            got[q].append((-x, v))
+    for q in block.ids.tolist():
+        assert sorted(got[q]) == sorted((-int(vectors[q] @ vectors[j]), j) for j in range(5000) if j != q)[:20]
 
 
 # --- op3 ---
