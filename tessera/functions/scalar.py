@@ -57,11 +57,25 @@ def cut(c: Column, start: int, end: int) -> Column:
 
 def json_key(c: Column, name: str, kind: str, default=None) -> Column:
     """A key of a JSON object text, quoted so that any name is safe; null if it is missing or not of the kind."""
-    quoted = name.replace("\\", "\\\\").replace("'", "\\'")
-    value = F.get_json_object(c, f"$['{quoted}']").try_cast(kind)
+    if set(name) & set("'\\\"]"):  # a path can't hold these
+        value = F.try_element_at(F.from_json(c, "map<string,string>"), F.lit(name))
+    else:
+        value = F.get_json_object(c, f"$['{name}']")
+    value = value.try_cast(kind)
     return value if default is None else F.coalesce(value, F.lit(default).cast(kind))
 
 
+def json_type(c: Column, name: str) -> Column:
+    """The type of a key's value in a JSON object text, by its value in each row: null, true, false, integer, real, text, array or object; no value where the key or the object is missing. The name holds no quote."""
+    value = F.try_variant_get(F.try_parse_json(c), f"$['{name}']", "variant")
+    kind = F.schema_of_variant(value)
+    return (
+        F.when(value.isNull(), None).when(kind == "VOID", "null").when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("string"))
+        .when(kind == "BIGINT", "integer").when((kind == "DOUBLE") | kind.startswith("DECIMAL"), "real").when(kind == "STRING", "text")
+        .when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object")
+    )
+
+
 def map_key(c: Column, name, kind: str, default=None) -> Column:
     value = F.try_element_at(c, F.lit(name)).cast(kind)
     return value if default is None else F.coalesce(value, F.lit(default).cast(kind))

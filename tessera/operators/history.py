@@ -217,5 +217,12 @@ def projected_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.join(after.select("record"), "record", "left_anti")
 
 
+def records_of_deleted(records: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Records (record, entity_pk, target_pk) that go with deleted rows (entity_pk): their own, and those that target them."""
+    gone = deleted.select(F.col("entity_pk").alias("_gone")).distinct()
+    own = records.join(gone, F.col("entity_pk") == F.col("_gone"), "left_semi")
+    return own.unionAll(records.join(gone, F.col("target_pk") == F.col("_gone"), "left_semi")).dropDuplicates(["record"])
+
+
 def read_schema() -> T.StructType:
     return T._parse_datatype_string(SCHEMA)

@@ -95,6 +95,13 @@ def classify(steps: list[Step]) -> str:
     return max((s.style for s in steps), key=order.index, default=COMPATIBLE)
 
 
+def column_fill(df: DataFrame) -> DataFrame:
+    """(column, n_values, unused): how many rows hold a value, in one pass; a column without any is unused."""
+    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_values")) for c in df.columns])
+    return counts.select(F.explode(cells).alias("c")).select("c.*").withColumn("unused", F.col("n_values") == 0)
+
+
 def check(store: Store, steps: list[Step]) -> list[str]:
     """What in the data stands against the steps; one query for each check."""
     bad = []

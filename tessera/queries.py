@@ -725,7 +725,7 @@ def delete_cascade(s):
     return mutate.apply_delete(s, _gone(s))["orders"].select("o_orderkey")
 
 
-def _keyed(s):
+def keyed_items(s):
     """The store with a key for line items that no two orders share."""
     item = replace(s.entity("LineItem"), key="l_itemkey")
     return Store(s.spark, Catalog(s.catalog.entities | {"LineItem": item}), s.tables | {"lineitem": s.table("LineItem").withColumn("l_itemkey", F.col("l_orderkey") * 10 + F.col("l_linenumber"))})
@@ -733,7 +733,7 @@ def _keyed(s):
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < -500)")
 def delete_cascade_deep(s):
-    keyed = _keyed(s)
+    keyed = keyed_items(s)
     return mutate.apply_delete(keyed, _gone(keyed))["lineitem"].select("l_orderkey", "l_linenumber")
 
 

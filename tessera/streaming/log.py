@@ -70,5 +70,23 @@ def remap_conflicts(incoming: DataFrame, local: DataFrame, key: str, unique: lis
     return incoming.select(F.col(key).alias("old"), *unique).join(loc, unique).where("old <> new").select("old", "new")
 
 
-def only(log: DataFrame, entities: list[str] | None = None) -> DataFrame:
-    return log.where(F.col("entity_name").isin(entities)) if entities is not None else log
+def replay(parked: DataFrame, fk: str, arrived: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parked records whose target has arrived, those that wait on)."""
+    return park(parked, fk, arrived)
+
+
+def repair(table: DataFrame, key: str, fk: str, waiting: DataFrame, arrived: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An optional reference that was nulled gets its target once that has arrived: (table, records that wait on). waiting: the records that park() kept. A reference that was set meanwhile stays."""
+    now, later = park(waiting, fk, arrived)
+    n = now.select(F.col(key).alias("_k"), F.col(fk).alias("_t"))
+    return table.join(n, F.col(key) == F.col("_k"), "left").select([F.coalesce(fk, "_t").alias(c) if c == fk else F.col(c) for c in table.columns]), later
+
+
+def only(log: DataFrame, entities: list[str] | None = None, columns: dict[str, list[str]] | None = None) -> DataFrame:
+    """Changes of these entities; of an entity in `columns`, updates name only those properties, and an update of none of them is left out."""
+    out = log.where(F.col("entity_name").isin(entities)) if entities is not None else log
+    for entity, names in (columns or {}).items():
+        mine = (F.col("entity_name") == entity) & (F.col("event") == "update")
+        kept = F.array_intersect(F.split("property_names", ","), F.array(*map(F.lit, names)))
+        out = out.where(~mine | (F.size(kept) > 0)).withColumn("property_names", F.when(mine, F.concat_ws(",", kept)).otherwise(F.col("property_names")))
+    return out

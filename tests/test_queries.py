@@ -3,7 +3,7 @@
 import compare
 import pytest
 
-from tessera import queries as Q
+from tessera import write_queries as Q
 
 
 @pytest.fixture(scope="module")
