@@ -31,6 +31,8 @@ from tessera.llm.common import documents, held_out, prepare
 ORDER = 4
 #: Bound of the sample: UTF-8 bytes of text that are learned from for each language. Longer documents are not sampled.
 SAMPLE_BYTES = 256 * 1024
+#: Bound of all languages' samples together: with more than 256 languages each gets an equal part of it.
+SAMPLE_TOTAL = 64 << 20
 #: Code lengths are counted in units of 1/4096 bit, so that sums are exact and do not depend on how a text is cut.
 UNIT = 4096
 SEGMENT = 1 << 19
@@ -192,6 +194,7 @@ def sample(df: DataFrame, text_col: str, lang_col: str, bytes_each: int) -> dict
     rows = df.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.octet_length(text_col).alias("n"), F.xxhash64(text_col).alias("h"))
     rows = rows.where(F.col("t").isNotNull() & F.col("l").isNotNull() & (F.col("n") <= bytes_each) & F.col("t").rlike(LETTER))
     have = {r["l"]: r["n"] for r in rows.select("l", "h", "n").distinct().groupBy("l").agg(F.sum("n").alias("n")).collect()}
+    bytes_each = min(bytes_each, SAMPLE_TOTAL // max(len(have), 1))
     shares = {name: min(1.0, (2 * bytes_each + 2**20) / n) for name, n in have.items()}
     order = W.partitionBy("l").orderBy("h", "t").rowsBetween(W.unboundedPreceding, 0)
     out: dict[str, list[str]] = {}
@@ -204,7 +207,7 @@ def sample(df: DataFrame, text_col: str, lang_col: str, bytes_each: int) -> dict
         for r in ranked.select("l", "t", "sum").orderBy("l", "h").collect():
             found.setdefault(r["l"], []).append((r["t"], r["sum"]))
         full = {name for name, x in shares.items() if x == 1 or name in found and found[name][-1][1] >= bytes_each}
-        out |= {name: [t for t, total in found[name] if total <= bytes_each] for name in full & found.keys()}
+        out |= {name: [t for t, total in found[name] if total <= bytes_each] or [found[name][0][0]] for name in full & found.keys()}
         shares = {name: min(1.0, 4 * x) for name, x in shares.items() if name not in full}
     return out
 

@@ -6,6 +6,9 @@ scores to a place the one whose last piece begins first stays. A character that
 also be an unknown, at the lowest score less PENALTY; with byte fallback it counts as its UTF-8 bytes, without it a
 run of unknowns counts once.
 
+The rules are those of the tokenizers library's unigram model: every piece of the vocabulary can match in the text, also
+one that stands for a control symbol or a byte.
+
 Scores of this vocabulary are whole numbers, so sums don't depend on where they start and the parts that sp_model cuts
 a text into are counted each by itself, through a bounded memo. Other vocabularies are counted over the whole text.
 
@@ -37,7 +40,8 @@ def vocabulary_path() -> str:
 
 class Counter:
     def __init__(self, pieces: list[str], scores: list[float], byte_fallback: bool, cut: bool):
-        self.byte_fallback = byte_fallback and all(f"<0x{b:02X}>" in set(pieces) for b in range(256))
+        known = set(pieces)
+        self.byte_fallback = byte_fallback and all(f"<0x{b:02X}>" in known for b in range(256))
         self.unknown = min(scores) - PENALTY
         self.automaton = ahocorasick.Automaton()
         for p, s in zip(pieces, scores, strict=True):
