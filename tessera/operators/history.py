@@ -63,17 +63,23 @@ def all_logs(main: DataFrame, archives: Iterable[DataFrame] = ()) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), logs).dropDuplicates(["store_identifier", "pk"]) if len(logs) > 1 else main
 
 
-def fetch_history(log: DataFrame, r: HistoryRequest) -> DataFrame:
-    """A row for each transaction: transaction_id, author, store_identifier, n_changes and the changes in order.
+def history_rows(log: DataFrame, r: HistoryRequest) -> DataFrame:
+    """The log rows of the requested transactions with their transaction_id, a row for each change, so that a transaction can have any number of them.
 
-    The limit finds the transactions first, from the ids alone, so that only their rows are gathered."""
+    The limit finds the transactions first, from the ids alone."""
     df = log.where(r.where) if r.where is not None else log
     direction = F.desc if r.newest_first else F.asc
     if r.limit is not None:
         ids = df.select(F.col("timestamp").alias("_t"), F.col("store_identifier").alias("_s")).distinct().orderBy(direction("_t"), "_s").limit(r.limit)
         df = df.join(ids, (F.col("timestamp") == F.col("_t")) & F.col("store_identifier").eqNullSafe(F.col("_s")), "left_semi")
+    return df.withColumn("transaction_id", F.col("timestamp"))
+
+
+def fetch_history(log: DataFrame, r: HistoryRequest) -> DataFrame:
+    """A row for each transaction: transaction_id, author, store_identifier, n_changes and the changes in order. A transaction is held in one row; history_rows has them apart."""
+    direction = F.desc if r.newest_first else F.asc
     change = F.struct("pk", "event", "entity_name", "entity_pk", "property_names", "preserved_values")
-    grouped = df.groupBy(F.col("timestamp").alias("transaction_id"), "store_identifier").agg(
+    grouped = history_rows(log, r).groupBy("transaction_id", "store_identifier").agg(
         F.min_by("author", "pk").alias("author"), F.count(F.lit(1)).alias("n_changes"), F.array_sort(F.collect_list(change)).alias("changes")
     )
     return grouped.orderBy(direction("transaction_id"), "store_identifier")

@@ -437,6 +437,11 @@ def hist_due(s):
     return s.spark.createDataFrame(found, "hours int, archive boolean, purge boolean")
 
 
+@log_query('SELECT pk, "timestamp" AS transaction_id, event FROM log WHERE "timestamp" IN (SELECT DISTINCT "timestamp" FROM log ORDER BY 1 LIMIT 40)')
+def hist_rows(log):
+    return history.history_rows(log.withColumn("store_identifier", F.lit("one")), history.HistoryRequest(limit=40, newest_first=False)).select("pk", "transaction_id", "event")
+
+
 @log_query("SELECT DISTINCT entity_name FROM log")
 def hist_entity_names(log):
     return history.entity_names(log)
