@@ -1,4 +1,4 @@
-"""The reference graph as an edge table (src, property, dst, ord) with distributed traversal."""
+"""The reference graph as an edge table (src, property, dst, ord) with distributed traversal. ord rises along an owner's targets and can have gaps."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.relations import links
 from tessera.sources.shared import settled
@@ -21,13 +22,14 @@ def node(entity: str, key) -> str:
 
 
 def build(store: Store, relationships: list[tuple[str, str]]) -> DataFrame:
-    """Edges of (entity, relationship) pairs, with nodes as `Entity:key`."""
+    """Edges of (entity, relationship) pairs, with nodes as `Entity:key`. Targets are in the order of their keys; whole-number keys are the order themselves, so that an owner of any number of targets needs no window."""
     parts = []
     for entity, name in relationships:
         target = store.catalog.relationship(entity, name).target
         found = links(store, entity, name)
         src, dst = F.concat(F.lit(f"{entity}:"), F.col("owner").cast("string")), F.concat(F.lit(f"{target}:"), F.col("related").cast("string"))
-        parts.append(found.select(src.alias("src"), F.lit(name).alias("property"), dst.alias("dst"), F.row_number().over(W.partitionBy("owner").orderBy("related")).alias("ord")))
+        place = F.col("related") if isinstance(found.schema["related"].dataType, T.IntegralType) else F.row_number().over(W.partitionBy("owner").orderBy("related"))
+        parts.append(found.select(src.alias("src"), F.lit(name).alias("property"), dst.alias("dst"), place.cast("long").alias("ord")))
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -35,7 +37,7 @@ def outgoing(edges: DataFrame, owner: str, prop: str | None = None) -> DataFrame
     """Targets in order of (property, place)."""
     df = edges.where(F.col("src") == owner)
     df = df.where(F.col("property") == prop) if prop else df
-    return df.select("property", "dst", "ord").orderBy("property", "ord")
+    return df.select("property", "dst", "ord").orderBy("property", "ord", "dst")
 
 
 def incoming(edges: DataFrame, target: str) -> DataFrame:
@@ -96,8 +98,7 @@ def remap_ids(edges: DataFrame, remap: DataFrame) -> DataFrame:
         .join(d, F.col("dst") == F.col("_d"), "left")
         .select(F.coalesce("_sn", "src").alias("src"), "property", F.coalesce("_dn", "dst").alias("dst"), "ord")
     )
-    merged = moved.groupBy("src", "property", "dst").agg(F.min("ord").alias("_o"))
-    return merged.withColumn("ord", F.row_number().over(W.partitionBy("src", "property").orderBy("_o", "dst"))).drop("_o")
+    return moved.groupBy("src", "property", "dst").agg(F.min("ord").alias("ord"))
 
 
 def reachable(edges: DataFrame, roots: DataFrame, direction: str = "out", max_depth: int | None = None, include_roots: bool = False, where=None) -> DataFrame:
