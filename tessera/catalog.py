@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Attribute:
-    """A stored value. `composite` names the fields of a JSON text column; `original` is its name before a rename."""
+    """A stored value. `composite` names the fields of a JSON text column; `original` is its name before a rename; `nocase` makes its uniqueness blind to ASCII case; `generated` is SQL over the row's other columns that gives its value."""
 
     name: str
     type: str = "string"
@@ -23,6 +23,17 @@ class Attribute:
     ephemeral: bool = False
     composite: tuple[str, ...] = ()
     original: str | None = None
+    nocase: bool = False
+    generated: str | None = None
+
+
+@dataclass(frozen=True)
+class Index:
+    """Columns by which rows are kept together. A unique one forbids equal rows, among those that meet `where` if that is given."""
+
+    columns: tuple[str, ...]
+    unique: bool = False
+    where: str | None = None
 
 
 @dataclass(frozen=True)
@@ -68,6 +79,8 @@ class Entity:
     relationships: tuple[Relationship, ...] = ()
     parent: str | None = None
     unique: tuple[tuple[str, ...], ...] = ()
+    checks: tuple[str, ...] = ()
+    indexes: tuple[Index, ...] = ()
 
     def attribute(self, name: str) -> Attribute | None:
         return next((a for a in self.attributes if a.name == name), None)
@@ -183,4 +196,4 @@ class Catalog:
         keep = {e.name for e in self if all(a.type in known for a in e.attributes)}
         while gone := {n for n in keep if self[n].parent and self[n].parent not in keep}:
             keep -= gone
-        return Catalog({e.name: Entity(e.name, e.table, e.key, e.attributes, tuple(r for r in e.relationships if r.target in keep), e.parent, e.unique) for e in self if e.name in keep})
+        return Catalog({e.name: Entity(e.name, e.table, e.key, e.attributes, tuple(r for r in e.relationships if r.target in keep), e.parent, e.unique, e.checks, e.indexes) for e in self if e.name in keep})

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.catalog import Entity
+from tessera.functions.scalar import ascii_lower
 from tessera.operators.history import preserved
 from tessera.sources.shared import settled
 from tessera.store import Store
@@ -89,6 +90,11 @@ def merge_values(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return stored.join(i, key, "left").select([F.coalesce(F.col(f"_i_{c}"), F.col(c)).alias(c) if c != key and c in incoming.columns else F.col(c) for c in stored.columns])
 
 
+def generate(table: DataFrame, entity: Entity) -> DataFrame:
+    """Generated attributes take the values of their SQL."""
+    return table.withColumns({a.name: F.expr(a.generated).cast(a.type) for a in entity.attributes if a.generated})
+
+
 def decode(table: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Nulls become the defaults of their columns."""
     return table.select([F.coalesce(F.col(c), F.lit(defaults[c]).cast(table.schema[c].dataType)).alias(c) if c in defaults else F.col(c) for c in table.columns])
@@ -261,13 +267,18 @@ def delete_where(store: Store, entity: str, condition: Column) -> tuple[dict[str
 
 
 def violations(store: Store, entity: str) -> DataFrame:
-    """(kind, columns, pk): rows that break NOT NULL, UNIQUE, primary or foreign keys."""
+    """(kind, columns, pk): rows that break NOT NULL, UNIQUE (also of an index, over part of the rows or blind to case), CHECK, generated values, primary or foreign keys. A CHECK that is null holds."""
     e, df = store.entity(entity), store.table(entity)
     pk = F.col(e.key).cast("string").alias("pk")
     parts = [df.where(F.col(e.key).isNull()).select(F.lit("primary key").alias("kind"), F.lit(e.key).alias("columns"), pk)]
-    for group in ((e.key,), *e.unique, *((a.name,) for a in e.attributes if a.unique)):
-        twice = duplicates(df, group).drop("n")
-        parts.append(df.join(twice, list(group), "left_semi").select(F.lit("unique").alias("kind"), F.lit(",".join(group)).alias("columns"), pk))
+    folded = df.withColumns({a.name: ascii_lower(F.col(a.name)) for a in e.attributes if a.nocase})
+    groups = [((e.key,), None), *((g, None) for g in e.unique), *(((a.name,), None) for a in e.attributes if a.unique), *((i.columns, i.where) for i in e.indexes if i.unique)]
+    for group, where in dict.fromkeys(groups):
+        rows = folded.where(where) if where else folded
+        twice = duplicates(rows, group).drop("n")
+        parts.append(rows.join(twice, list(group), "left_semi").select(F.lit("unique").alias("kind"), F.lit(",".join(group)).alias("columns"), pk))
+    parts += [df.where(~F.expr(check)).select(F.lit("check").alias("kind"), F.lit(check).alias("columns"), pk) for check in e.checks]
+    parts += [df.where(~F.col(a.name).eqNullSafe(F.expr(a.generated).cast(a.type))).select(F.lit("generated").alias("kind"), F.lit(a.name).alias("columns"), pk) for a in e.attributes if a.generated]
     parts += [df.where(F.col(a.name).isNull()).select(F.lit("not null").alias("kind"), F.lit(a.name).alias("columns"), pk) for a in e.attributes if not a.optional and a.default is None]
     for r in e.relationships:
         if r.fk:

@@ -46,11 +46,14 @@ class SnapshotStore:
         found = self.numbers()
         return self.manifest(found[-1]) if found else None
 
-    def commit(self, tables: Mapping[str, DataFrame], schema: str | None = None) -> int:
-        """Writes changed tables and creates the manifest; a concurrent commit in between is an error."""
+    def commit(self, tables: Mapping[str, DataFrame], schema: str | None = None, catalog: Catalog | None = None) -> int:
+        """Writes changed tables and creates the manifest; a concurrent commit in between is an error. With a catalog, rows are kept together by the first index of their entity, so that scans skip files and row groups by its columns."""
         before = self.current() or {}
         number, at = before.get("number", 0) + 1, uuid.uuid4().hex
+        order = {e.table: e.indexes[0].columns for e in catalog or () if e.indexes}
         for name, df in tables.items():
+            if name in order:
+                df = df.repartitionByRange(*order[name]).sortWithinPartitions(*order[name])
             df.write.parquet(f"{self.root}/data/{at}/{name}")
         places = before.get("tables", {}) | {name: f"{self.root}/data/{at}/{name}" for name in tables}
         manifest = {"format": FORMAT, "number": number, "tables": places, "schema": schema or before.get("schema")}

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.catalog import Attribute, Catalog, Entity, Relationship
+from tessera.catalog import Attribute, Catalog, Entity, Index, Relationship
 from tessera.functions import scalar as S
 from tessera.operators import graph, history, inherit, migrate, mutate, relations, sets
 from tessera.operators.cache import ResultCache
@@ -19,6 +19,7 @@ from tessera.operators.fetch import ambiguous, fetch, fetch_count, fetch_identif
 from tessera.queries import CUSTOMER, CUT, EDGES, LOG, NOW, QUERIES, SQL, keyed_items, log_query, query
 from tessera.sources.fixtures import change_log, store
 from tessera.sources.shared import shared_dir
+from tessera.sources.snapshots import SnapshotStore
 from tessera.store import Store
 from tessera.streaming import log as stream
 
@@ -295,6 +296,51 @@ def unused_columns(s):
     return migrate.column_fill(inherit.polymorphic(s, "Document").select("doc_id", "quality", F.lit(None).cast("string").alias("never")))
 
 
+@query("SELECT 'check' AS kind, 'c_acctbal > 0' AS columns, CAST(c_custkey AS VARCHAR) AS pk FROM customer WHERE NOT (c_acctbal > 0)")
+def check_constraint(s):
+    bound = replace(s.entity("Customer"), checks=("c_acctbal > 0", "c_mktsegment is not null"))
+    return mutate.violations(Store(s.spark, Catalog(s.catalog.entities | {"Customer": bound}), s.tables), "Customer")
+
+
+@query("SELECT 'unique' AS kind, 'c_note' AS columns, CAST(c_custkey AS VARCHAR) AS pk FROM customer WHERE c_mktsegment IN ('BUILDING', 'FURNITURE')")
+def unique_without_case(s):
+    """Notes that differ only in case, and others that don't repeat."""
+    note = F.when(building(), "Same").when(F.col("c_mktsegment") == "FURNITURE", "SAME").otherwise(F.col("c_custkey").cast("string"))
+    e = Entity("Noted", "noted", "c_custkey", (Attribute("c_note", unique=True, nocase=True),))
+    return mutate.violations(Store(s.spark, Catalog.of(e), {"noted": s.table("Customer").select("c_custkey", note.alias("c_note"))}), "Noted")
+
+
+@query("SELECT 'unique' AS kind, 'o_custkey' AS columns, CAST(o_orderkey AS VARCHAR) AS pk FROM orders WHERE o_orderstatus = 'P' AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' GROUP BY 1 HAVING count(*) > 1)")
+def unique_partial_index(s):
+    one = replace(s.entity("Orders"), indexes=(Index(("o_custkey",), True, "o_orderstatus = 'P'"),))
+    return mutate.violations(Store(s.spark, Catalog(s.catalog.entities | {"Orders": one}), s.tables), "Orders")
+
+
+@query("SELECT c_custkey, c_name || '/' || c_mktsegment AS c_label, c_acctbal < 0 AS wrong FROM customer")
+def generated_column(s):
+    """Generated values, and those that were written over by hand."""
+    e = Entity("Labelled", "labelled", "c_custkey", (Attribute("c_label", generated="concat(c_name, '/', c_mktsegment)"),))
+    rows = mutate.generate(s.table("Customer"), e)
+    by_hand = rows.withColumn("c_label", F.when(F.col("c_acctbal") < 0, "x").otherwise(F.col("c_label")))
+    bad = mutate.violations(Store(s.spark, Catalog.of(e), {"labelled": by_hand}), "Labelled").where("kind = 'generated'").select(F.col("pk").cast("long").alias("c_custkey"), F.lit(True).alias("_bad"))
+    return rows.join(bad, "c_custkey", "left").select("c_custkey", "c_label", F.coalesce("_bad", F.lit(False)).alias("wrong"))
+
+
+def committed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A commit that keeps rows together by an index, read back by its columns."""
+    s = store(spark, sf_dir)
+    catalog = Catalog(s.catalog.entities | {"Orders": replace(s.entity("Orders"), indexes=(Index(("o_orderdate",)),))})
+    snapshots = SnapshotStore(spark, f"{shared_dir(spark)}/commits-{uuid.uuid4().hex}")
+    snapshots.commit({"orders": s.table("Orders"), "customer": s.table("Customer")}, catalog=catalog)
+    snapshots.commit({"customer": s.table("Customer").where(building())})
+    late = snapshots.load(catalog)
+    return late.table("Orders").where("o_orderdate >= timestamp_ntz '1997-01-01'").join(late.table("Customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey")
+
+
+QUERIES["committed_index"] = committed_index
+SQL["committed_index"] = "SELECT o_orderkey, c_custkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND c_mktsegment = 'BUILDING'"
+
+
 # --- inheritance --------------------------------------------------------------------------------------------------
 
 
