@@ -2,7 +2,7 @@
 
 The model's protobuf is read and its tokenizer rebuilt: the normaliser (character map, extra blanks, marker in front
 and for blanks), the model (unigram scores, or merges that follow from the scores of a BPE vocabulary) and byte
-fallback. Where no piece spans a cut of sp_model.segments, texts are encoded by their distinct segments: those that a
+fallback, with the rules for user-defined and control pieces. Where no piece spans a cut of sp_model.segments, texts are encoded by their distinct segments: those that a
 bounded memo lacks go through the library as one multithreaded batch. Otherwise whole texts do.
 
 Each text is decoded again, and its ids are held against the sentencepiece library's (column `parity`).
@@ -25,6 +25,10 @@ from tessera.llm.sp_model import BPE, BYTE, NORMAL, SPACE, USER, SpModel, segmen
 from tessera.llm.token_counts import vocabulary_path
 
 MEMO = 400_000
+#: Fixed value of the sentencepiece library (measured): the score of a user-defined piece in a unigram model.
+USER_SCORE = 0.1
+#: A code point that is no character.
+NO_TEXT = "\ufdd0"
 
 
 def merges(m: SpModel) -> list[tuple[str, str]]:
@@ -38,25 +42,37 @@ def merges(m: SpModel) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(out)]
 
 
-def build(m: SpModel, normalise: bool = True):
-    """The model's tokenizer; without `normalise`, for texts that are normalised already."""
-    from tokenizers import Regex, Tokenizer, models, normalizers
+def normaliser(m: SpModel):
+    """What the model does to a text first: its character map, extra blanks, the marker in front and for blanks."""
+    from tokenizers import Regex, normalizers
+
+    steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
+    if m.remove_extra_whitespaces:
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
+    if m.add_dummy_prefix:
+        steps.append(normalizers.Prepend(SPACE if m.escape_whitespaces else " "))
+    if m.escape_whitespaces:
+        steps.append(normalizers.Replace(" ", SPACE))
+    return normalizers.Sequence(steps)
+
+
+def build(m: SpModel):
+    """The model's tokenizer for normalised texts.
+
+    User-defined pieces are found first in a BPE model; in a unigram model each has the score USER_SCORE. Control, unused
+    and unknown pieces match no text, so a unigram vocabulary has them under names with a character that texts don't hold."""
+    from tokenizers import AddedToken, Tokenizer, models
 
     if m.kind == BPE:
         vocab = {p: k for k, p in enumerate(m.pieces)}
         model = models.BPE(vocab, merges(m), unk_token=m.pieces[m.unk_id], fuse_unk=True, byte_fallback=m.byte_fallback)
     else:
-        model = models.Unigram(list(zip(m.pieces, m.scores, strict=True)), m.unk_id, m.byte_fallback)
+        names = [p if kind in (NORMAL, USER, BYTE) else f"{NO_TEXT}{k}" for k, (p, kind) in enumerate(zip(m.pieces, m.types, strict=True))]
+        scores = [USER_SCORE if kind == USER else s for s, kind in zip(m.scores, m.types, strict=True)]
+        model = models.Unigram(list(zip(names, scores, strict=True)), m.unk_id, m.byte_fallback)
     tokenizer = Tokenizer(model)
-    if normalise:
-        steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
-        if m.remove_extra_whitespaces:
-            steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
-        if m.add_dummy_prefix:
-            steps.append(normalizers.Prepend(SPACE if m.escape_whitespaces else " "))
-        if m.escape_whitespaces:
-            steps.append(normalizers.Replace(" ", SPACE))
-        tokenizer.normalizer = normalizers.Sequence(steps)
+    if m.kind == BPE:
+        tokenizer.add_tokens([AddedToken(p, normalized=False) for p, kind in zip(m.pieces, m.types, strict=True) if kind == USER])
     return tokenizer
 
 
@@ -64,7 +80,7 @@ class SpTokenizer:
     def __init__(self, path: str):
         self.model = SpModel.load(path)
         self.plain = self.model.plain
-        self.library = build(self.model, normalise=not self.plain)
+        self.normaliser, self.library = normaliser(self.model), build(self.model)
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.encode() for p, kind in zip(self.model.pieces, self.model.types, strict=True)]
         self.recent: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -75,7 +91,7 @@ class SpTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each."""
         if not self.plain:
-            return self._encode(texts)
+            return self._encode([self.normaliser.normalize_str(t) if t else t for t in texts])
         cut = [segments(t) for t in texts]
         all_ = set().union(*cut)
         new = []

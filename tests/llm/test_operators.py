@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -366,8 +367,39 @@ def test_counts_and_ids_of_edges(spark):
 
 def test_unigram_model_round_trip():
     m = sp_model.SpModel(["<unk>", "▁a", "b", "▁"], [0.0, -1.0, -2.0, -3.0], [2, 1, 1, 1], sp_model.UNIGRAM, 0, False, b"", True, True, True)
-    t = sp_tokenizer.build(m)
-    assert t.encode("  a   b ", add_special_tokens=False).ids == [1, 3, 2]
+    text = sp_tokenizer.normaliser(m).normalize_str("  a   b ")
+    assert sp_tokenizer.build(m).encode(text, add_special_tokens=False).ids == [1, 3, 2]
+
+
+def message(*fields):
+    """A protobuf message of (number, int, float or bytes)."""
+
+    def varint(n):
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    out = b""
+    for k, v in fields:
+        if isinstance(v, float):
+            out += varint(k << 3 | 5) + struct.pack("<f", v)
+        else:
+            out += varint(k << 3) + varint(v) if isinstance(v, int) else varint(k << 3 | 2) + varint(len(v)) + v
+    return out
+
+
+@pytest.mark.parametrize("extra_blanks", [0, 1])
+def test_unigram_pieces_by_type(tmp_path, extra_blanks):
+    """User-defined pieces have a score of their own and control pieces match nothing, as in the sentencepiece library."""
+    import sentencepiece
+
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("<x>", 0.0, 4), ("ab", -7.0, 4), ("cabc", 0.0, 4), ("▁", -2.0, 1)] + [(c, -3.0 - k / 8, 1) for k, c in enumerate("abc<>sx/")] + [("▁a", -2.5, 1), ("bc", -2.75, 1), ("abc", -1.0, 1), ("ca", -4.0, 1)]
+    proto = b"".join(message((1, message((1, p.encode()), (2, s), (3, kind)))) for p, s, kind in pieces)
+    proto += message((2, message((3, 1)))) + message((3, message((1, b"identity"), (3, 1), (4, extra_blanks), (5, 1))))
+    path = tmp_path / "unigram.model"
+    path.write_bytes(proto)
+    own, other = sp_tokenizer.SpTokenizer(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+    rng = random.Random(15)
+    texts = ["".join(rng.choice(["a", "b", "c", " ", "<s>", "<x>", "</s>", "ab", "x"]) for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in own.encode(texts)] == other.encode(texts)
 
 
 # --- op6 ---
