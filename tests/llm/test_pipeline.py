@@ -36,6 +36,18 @@ def test_tiny_and_unlabelled_texts_stay(spark, sf):
     assert {r["doc_id"] for r in corpus_pipeline.keep_languages(spark, nothing, sf).collect()} == {0, 1, 4}
 
 
+def test_near_copies_go_by_row(spark, sf):
+    """Rows share ids, repeat, and lack ids: one row of each group stays, and nothing else goes."""
+    base = [f"w{k}" for k in range(30)]
+    near, nearer = " ".join([*base[:-1], "x"]), " ".join([*base[:-1], "y"])
+    base = " ".join(base)
+    other, clean, twice = "here is a text of its own that stays", "and another one that has nothing to do with it", "this row comes two times in the table as it is"
+    rows = [(1, base), (1, other), (2, near), (2, clean), (3, base), (3, base), (None, nearer), (9, twice), (9, twice), (None, ""), (None, "")]
+    df = docs(spark, [t for _, t in rows], [i for i, _ in rows]).select(*corpus_pipeline.COLUMNS)
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, df, sf).collect())
+    assert got == Counter([(1, base), (1, other), (2, clean), (9, twice), (None, ""), (None, "")])
+
+
 def test_empty(spark, sf):
     df = docs(spark, ["x"]).select(*corpus_pipeline.COLUMNS).limit(0)
     for _, stage in corpus_pipeline.STAGES:
