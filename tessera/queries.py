@@ -328,9 +328,9 @@ def to_many_any(s):
     return fetch_identifiers(s, Req("Customer", lambda c: c.orders.any(lambda o: o.o_totalprice > 400000)))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def to_many_none(s):
-    return fetch_identifiers(s, Req("Customer", lambda c: ~c.orders.any(lambda o: o.o_totalprice > 100000)))
+    return fetch_identifiers(s, Req("Customer", lambda c: ~c.orders.any(lambda o: o.o_totalprice > 400000)))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_acctbal > 9000 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
