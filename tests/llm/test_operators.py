@@ -49,6 +49,28 @@ def test_shards_are_even_and_gapless(spark):
     assert max(size.values()) - mean <= 5008 and mean - min(size.values()) <= 5008
 
 
+def test_splits_are_weighted_quantiles_of_the_widest_dimension(spark):
+    rng = random.Random(21)
+    texts = ["w" * rng.choice((3, 40, 300, 2000)) + str(rng.random()) for _ in range(900)]
+    rows = kd_shards.metadata(docs(spark, texts))
+    root, table = kd_shards.tree(rows, 6), rows.toPandas()
+
+    def walk(node, own):
+        if not node.below:
+            assert node.shards == 1
+            return 1
+        spans = {d: own[d].max() - own[d].min() for d in kd_shards.DIMENSIONS}
+        assert spans[node.dim] == max(spans.values())
+        low = own[own[node.dim] < node.threshold]
+        target = own["size"].sum() * (node.shards // 2) / node.shards
+        order = own.sort_values(node.dim)["size"].cumsum()
+        exact = order[order <= target].max()  # as close as whole rows come from below
+        assert abs(low["size"].sum() - target) <= max(abs(exact - target), own["size"].max())
+        return walk(node.below, low) + walk(node.above, own[own[node.dim] >= node.threshold])
+
+    assert walk(root, table) == 6
+
+
 def test_shards_of_repeated_and_no_rows(spark):
     got = kd_shards.shard(docs(spark, ["t"] * 240, [None] * 240)).groupBy("shard").count().collect()
     assert len(got) == 24 and all(9 <= r["count"] <= 11 for r in got)
@@ -186,6 +208,13 @@ def test_sample_counts_copies_once(spark):
         assert sorted(sampled(spark, [(hot, 8000), *((t, 1) for t in few)], 4000)) == sorted([hot, *few])
 
 
+def test_samples_of_many_languages_are_bounded_together(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_TOTAL", 4000)
+    rows = [(f"text {k} of {n} " + "x" * 20, f"l{n}") for n in range(40) for k in range(12)]
+    got = language_id.sample(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", 10_000)
+    assert len(got) == 40 and all(1 <= len(t) <= 3 for t in got.values()) and sum(len(x) for t in got.values() for x in t) <= 4000
+
+
 def test_sample_fills_when_hashes_lie_high(spark):
     texts = spark.range(9000).select(F.concat(F.lit("text "), F.repeat(F.col("id").cast("string"), 400)).alias("t")).where(F.xxhash64("t") > 2**62)
     own = [r["t"] for r in texts.orderBy(F.xxhash64("t")).collect()]
