@@ -250,6 +250,20 @@ def _fetch(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int, nu
     return shared_table(texts.mapInArrow(run, f"node long, n int, features binary, {', '.join(f'{b} long' for b in BITS)}, own int, wide_own array<long>, wide_next array<long>"), "features")
 
 
+def _apart(a: str, b: str):
+    """Bits in which two bitmaps differ; each of their columns is named with the side's suffix."""
+    return sum((F.bit_count(F.col(f"{c}{a}").bitwiseXOR(F.col(f"{c}{b}"))) for c in BITS[1:]), F.bit_count(F.col(f"{BITS[0]}{a}").bitwiseXOR(F.col(f"{BITS[0]}{b}"))))
+
+
+def _likely(pairs: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that may link by size and bitmap, so that whole sets are only sent for those."""
+    a, b = (features.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in BITS)) for x in "ab")
+    pairs = _small(pairs)
+    both = b.join(pairs, "b").join(a.join(pairs.select("a").distinct(), "a", "left_semi"), "a")
+    may = ((den + num) * _apart("_a", "_b") <= (den - num) * (F.col("n_a") + F.col("n_b"))) & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+    return shared_table(both.where(may).select("a", "b"), "likely")
+
+
 def _linked(pairs: DataFrame, features: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (u, v) that link, by exact intersection; a is the side that fewer sets are on."""
 
@@ -303,7 +317,6 @@ def _rest(live: DataFrame, comps: DataFrame, features: DataFrame, done: DataFram
     wide = F.when(F.col("sig").bitwiseAND(F.lit(BAND_MARK)) == F.col("own").bitwiseAND(F.lit(BAND_MARK)), F.col("wide_own")).otherwise(F.col("wide_next")).alias("wide")
     mapped = spread.join(tops, "node").join(features, "node").select("sig", "node", "n", "comp", "apart", "tops", wide, *BITS)
     l, r = (mapped.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", "apart", "tops", "wide", *BITS))) for x in "lr")
-    bits = sum((F.bit_count(F.col(f"{c}_l").bitwiseXOR(F.col(f"{c}_r"))) for c in BITS[1:]), F.bit_count(F.col("bits0_l").bitwiseXOR(F.col("bits0_r"))))
     wide_bits = F.aggregate(F.zip_with("wide_l", "wide_r", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     allowed = (den - num) * (F.col("n_l") + F.col("n_r"))
     common = F.array_intersect("tops_l", "tops_r")
@@ -311,7 +324,7 @@ def _rest(live: DataFrame, comps: DataFrame, features: DataFrame, done: DataFram
         (F.col("comp_l") != F.col("comp_r"))
         & (~F.col("apart_r") | (F.col("node_l") < F.col("node_r")))
         & (den * F.least("n_l", "n_r") >= num * F.greatest("n_l", "n_r"))
-        & ((den + num) * bits <= allowed)
+        & ((den + num) * _apart("_l", "_r") <= allowed)
         & ((F.size(common) == 0) | (F.array_min(common) == l["sig"]))
         & (F.col("wide_l").isNull() | ((den + num) * wide_bits <= allowed))
     )
@@ -342,7 +355,7 @@ def grouped(df: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH, i
         if done is not None:
             open_ = open_.join(done.select(F.struct("deg", F.col("a").alias("node")).alias("lead"), "b"), ["lead", "b"], "left_anti")
         tests = shared_table(open_.groupBy("b").agg(F.max("lead").alias("lead")).select("lead.deg", F.col("lead.node").alias("a"), "b"), "tests")
-        found = shared_table(_linked(tests.select("a", "b"), features, num, den), "linked")
+        found = shared_table(_linked(_likely(tests.select("a", "b"), features, num, den), features, num, den), "linked")
         done = tests if done is None else done.unionAll(tests)
         links = found if links is None else links.unionAll(found)
         comps = components(links)
@@ -369,7 +382,7 @@ def drop_copies(df: DataFrame, num: int, den: int, width: int) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     placed = shared_table(rows.where("n > 0").groupBy("doc_id", "text_key", "d1", "d2").agg(F.count(F.lit(1)).alias("times")).join(named.select("d1", "d2", "comp"), ["d1", "d2"]).select("comp", "times", key.alias("key")), "placed")
     head = placed.groupBy("comp").agg(F.min("key").alias("head"))
-    gone = shared_table(placed.join(head, "comp").where("key <> head").select("key.doc_id", "key.text_key"), "gone")
+    gone = _small(shared_table(placed.join(head, "comp").where("key <> head").select("key.doc_id", "key.text_key"), "gone"))
     twice = placed.where("times > 1").select("key.doc_id", "key.text_key")
 
     def same(table: DataFrame):
