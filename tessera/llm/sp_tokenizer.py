@@ -2,8 +2,9 @@
 
 The model's protobuf is read and its tokenizer rebuilt: the normaliser (character map, extra blanks, marker in front
 and for blanks), the model (unigram scores, or merges that follow from the scores of a BPE vocabulary) and byte
-fallback, with the rules for user-defined and control pieces. Where no piece spans a cut of sp_model.segments, texts are encoded by their distinct segments: those that a
-bounded memo lacks go through the library as one multithreaded batch. Otherwise whole texts do.
+fallback, with the rules for user-defined and control pieces. Under a BPE model with byte fallback and no piece that
+spans a cut of sp_model.segments, texts are encoded by their distinct segments: those that a bounded memo lacks go
+through the library many to a text, with new lines between, as one multithreaded batch. Otherwise whole texts do.
 
 Each text is decoded again, and its ids are held against the sentencepiece library's (column `parity`).
 
@@ -12,19 +13,23 @@ repeated rows and null ids pass through; an empty table gives an empty result.""
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, prepare
-from tessera.llm.sp_model import BPE, BYTE, NORMAL, SPACE, USER, SpModel, segments
+from tessera.llm.sp_model import BPE, BYTE, NORMAL, SPACE, USER, SpModel
 from tessera.llm.token_counts import vocabulary_path
 
 MEMO = 400_000
+#: Segments that go through the library as one text.
+JOINED = 64
 #: Fixed value of the sentencepiece library (measured): the score of a user-defined piece in a unigram model.
 USER_SCORE = 0.1
 #: A code point that is no character.
@@ -76,43 +81,66 @@ def build(m: SpModel):
     return tokenizer
 
 
+RUNS = re.compile(" +[^ \n]*|[^ \n]+|\n")
+
+
+def parts(text: str) -> list[str]:
+    """What sp_model.segments gives, with blanks for markers; empty parts can lie between."""
+    if not text:
+        return []
+    text = " " + text.replace(SPACE, " ")
+    if "  " in text or "\0" in text:
+        return RUNS.findall(text)
+    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+
 class SpTokenizer:
     def __init__(self, path: str):
         self.model = SpModel.load(path)
-        self.plain = self.model.plain
+        ids = {p: k for k, p in enumerate(self.model.pieces) if self.model.types[k] == BYTE}
+        # With a byte piece for each byte no run of unknowns spans a cut, and a new line is always the same single id.
+        self.cut = self.model.kind == BPE and self.model.byte_fallback and self.model.plain and all(f"<0x{b:02X}>" in ids for b in range(256))
+        self.newline = ids.get("<0x0A>")
         self.normaliser, self.library = normaliser(self.model), build(self.model)
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.encode() for p, kind in zip(self.model.pieces, self.model.types, strict=True)]
-        self.recent: dict[str, bytes] = {}
+        self.fixed = {"": b"", "\n": array("I", [self.newline]).tobytes()} if self.cut else {}
+        self.recent: dict[str, bytes] = dict(self.fixed)
         self.before: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_parts(self, new: list[str]) -> list[bytes]:
+        """The ids of each part; none of them holds a new line, so the ids of joined parts are cut at its id."""
+        joined = ["\n".join(new[k : k + JOINED]).replace(" ", SPACE) for k in range(0, len(new), JOINED)]
+        ids = array("I")
+        for e in self.library.encode_batch_fast(joined, add_special_tokens=False):
+            ids.extend(e.ids)
+            ids.append(self.newline)
+        all_ = ids.tobytes()
+        ends = (np.flatnonzero(np.frombuffer(all_, np.uint32) == self.newline) * 4).tolist()
+        return [all_[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends, strict=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each."""
-        if not self.plain:
+        if not self.cut:
             return self._encode([self.normaliser.normalize_str(t) if t else t for t in texts])
-        cut = [segments(t) for t in texts]
-        all_ = set().union(*cut)
-        new = []
-        own: dict[str, bytes] = {}
-        for s in all_:
-            ids = self.recent.get(s)
-            if ids is None:
-                ids = self.before.get(s)
-            if ids is None:
-                new.append(s)
-            else:
-                own[s] = ids
-        own.update(zip(new, self._encode(new), strict=True))
+        cut = [parts(t) for t in texts]
+        found = [list(map(self.recent.get, c)) for c in cut]
+        lacking: set[str] = set()
+        for c, f in zip(cut, found, strict=True):
+            lacking.update([s for s, ids in zip(c, f, strict=True) if ids is None])
+        own = {s: ids for s in lacking if (ids := self.before.get(s)) is not None}
+        new = [s for s in lacking if s not in own]
+        own.update(zip(new, self._encode_parts(new), strict=True))
         if len(self.recent) > MEMO:
-            self.before, self.recent = self.recent, {}
+            self.before, self.recent = self.recent, dict(self.fixed)
         self.recent.update(own)
-        return [b"".join([own[s] for s in c]) for c in cut]
+        return [b"".join([own[s] if ids is None else ids for s, ids in zip(c, f, strict=True)]) for c, f in zip(cut, found, strict=True)]
 
     def decode(self, ids: bytes) -> str:
         table = self.bytes_of
-        text = b"".join([table[i] for i in array("I", ids)]).decode("utf-8", "replace")
+        text = b"".join(map(table.__getitem__, array("I", ids))).decode("utf-8", "replace")
         if self.model.escape_whitespaces:
             text = text.replace(SPACE, " ")
         return text[1:] if self.model.add_dummy_prefix and text[:1] == " " else text
@@ -166,7 +194,7 @@ def digests(df: DataFrame, model: str | None = None, id_col: str = "doc_id", tex
             cols = [
                 pa.array([len(x) // 4 for x in ids], pa.int64()),
                 pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                pa.array([array("I", x).tolist() == y for x, y in zip(ids, other.encode(known, num_threads=1), strict=True)]),
+                pa.array([x == array("I", y).tobytes() for x, y in zip(ids, other.encode(known, num_threads=1), strict=True)]),
                 pa.array([own.decode(x) == t for x, t in zip(ids, known, strict=True)]),
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], [id_col, "n_ids", "ids_crc32", "parity", "round_trip"])

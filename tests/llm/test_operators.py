@@ -431,6 +431,46 @@ def test_unigram_pieces_by_type(tmp_path, extra_blanks):
     assert [np.frombuffer(x, np.uint32).tolist() for x in own.encode(texts)] == other.encode(texts)
 
 
+def test_parts_go_through_the_library_joined(monkeypatch):
+    """Odd blanks, markers, new lines and NULs, with a memo that turns over all the time: the ids of the sentencepiece library, and few texts for many parts."""
+    import sentencepiece
+
+    monkeypatch.setattr(sp_tokenizer, "MEMO", 50)
+    path = token_counts.vocabulary_path()
+    own, other = sp_tokenizer.SpTokenizer(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    sent, library = [], own.library
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    own.library = Counted()
+    rng = random.Random(23)
+    pool = ["a", "word", "Wort,", "é", "▁", " ", "  ", "\n", "\n\n", "\t", "\r", "\0", "<0x0A>", "<s>", "\u3000", "漢字", "🙂", "12²", "***"]
+    for _ in range(20):
+        texts = ["".join(rng.choice(pool) + rng.choice(("", " ")) for _ in range(rng.randint(0, 30))) for _ in range(30)] + ["", " ", "\n", " \n ", "\0"]
+        assert [np.frombuffer(x, np.uint32).tolist() for x in own.encode(texts)] == other.encode(texts)
+    sent.clear()
+    words = [f"w{k}x" for k in range(1000)]
+    assert [np.frombuffer(own.encode([" ".join(words)])[0], np.uint32).tolist()] == other.encode([" ".join(words)])
+    assert len(sent) <= 1000 / sp_tokenizer.JOINED + 1
+
+
+def test_unknowns_across_a_new_line(tmp_path):
+    """Without byte fallback a run of unknown characters is one id, also where it goes on after a new line."""
+    import sentencepiece
+
+    pieces = [("<unk>", 0.0, 2), ("ab", 0.0, 1), ("▁ab", -1.0, 1), ("▁", -2.0, 1), ("a", -3.0, 1), ("b", -4.0, 1)]
+    proto = b"".join(message((1, message((1, p.encode()), (2, s), (3, kind)))) for p, s, kind in pieces)
+    proto += message((2, message((3, 2)))) + message((3, message((1, b"identity"), (3, 1), (4, 0), (5, 1))))
+    path = tmp_path / "bpe.model"
+    path.write_bytes(proto)
+    own, other = sp_tokenizer.SpTokenizer(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = ["", "ab\nab", "abé\néab", "\n\n", "é \n ab"]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in own.encode(texts)] == other.encode(texts)
+
+
 # --- op6 ---
 
 
