@@ -12,6 +12,8 @@ import sys
 
 import numpy as np
 
+from tessera.llm.common import keep
+
 #: Fixed value: the pre-token pattern of this family of tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PROBES = ("", " ", "Hello world", "it's  we're\n\n  x\ty ", "é ü 12345 naïve—“quoted” ...", "a b　c 🙂🙂 \r\n", "Ertionhe thereanly,\nnt. ÇON", "x" * 99 + "  \n")
@@ -63,7 +65,7 @@ class ByteBpe:
             return self._library(text)
 
 
-_loaded: dict[str, ByteBpe] = {}
+_loaded: dict[str, ByteBpe] = keep("byte_bpe")
 
 
 def load(path: str) -> ByteBpe:

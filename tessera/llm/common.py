@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ BATCH_ROWS = 400
 BATCH_BYTES = 16 << 20
 
 _shipped: set[str] = set()
+_kept: dict[str, dict] = {}
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
@@ -47,6 +51,32 @@ def prepare(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+def keep(name: str) -> dict:
+    """What an operator keeps in a Python worker from task to task."""
+    return _kept.setdefault(name, {})
+
+
+def release(own: str = "") -> None:
+    """Drops what operators other than `own` keep in this process, and gives freed memory back to the system."""
+    for name, held in _kept.items():
+        if name != own:
+            held.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def tidy(run: Callable, own: str = "") -> Callable:
+    """run, for mapInArrow, in a worker that holds no more than its own tables: workers outlive a task and serve each operator in turn, so what all of them left would add up."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(own)
+        yield from run(batches)
+        release(own)
+
+    return tidied
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, held_out, prepare
+from tessera.llm.common import documents, held_out, keep, prepare, tidy
 
 ORDER = 4
 #: Bound of the sample: UTF-8 bytes of text that are learned from for each language. Longer documents are not sampled.
@@ -175,7 +175,7 @@ class Scorer:
         return total - self.m.tail[at[-1]]
 
 
-_scorers: dict[str, Scorer] = {}
+_scorers: dict[str, Scorer] = keep("language_id")
 
 
 def scorer(model: Model) -> Scorer:
@@ -238,7 +238,7 @@ def with_language(df: DataFrame, model: Model, keep: list[str | Column], text_co
 
     slim = df.select(F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False)).alias("_letter"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[2:])
-    return slim.mapInArrow(run, f"{schema}, lang_pred string, score double, bits_per_byte double")
+    return slim.mapInArrow(tidy(run, "language_id"), f"{schema}, lang_pred string, score double, bits_per_byte double")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, prepare, shared_table
+from tessera.llm.common import documents, prepare, shared_table, tidy
 from tessera.llm.components import components
 from tessera.llm.shingles import U, digest, mix, shingle_sets
 
@@ -169,7 +169,7 @@ def _sets(df: DataFrame, width: int) -> DataFrame:
                 ["doc_id", "text_key", "n", "d1", "d2", "df"],
             )
 
-    return df.mapInArrow(run, "doc_id long, text_key long, n long, d1 long, d2 long, df long")
+    return df.mapInArrow(tidy(run), "doc_id long, text_key long, n long, d1 long, d2 long, df long")
 
 
 def _lanes(sigs: np.ndarray, nodes: np.ndarray) -> np.ndarray:
@@ -207,7 +207,7 @@ def _signatures(df: DataFrame, width: int, num: int, den: int, frequent: np.ndar
                 sig, node = np.concatenate(sigs).view(np.int64), np.repeat(np.array(nodes, np.int64), reps)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (sig, _lanes(sig, node), node)], ["sig", "lane", "node"])
 
-    return df.mapInArrow(run, "sig long, lane int, node long")
+    return df.mapInArrow(tidy(run), "sig long, lane int, node long")
 
 
 def _bitmap(s: np.ndarray, words: int) -> np.ndarray:
@@ -247,7 +247,7 @@ def _fetch(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int, nu
                 ["node", "n", "features", *BITS, "own", "wide_own", "wide_next"],
             )
 
-    return shared_table(texts.mapInArrow(run, f"node long, n int, features binary, {', '.join(f'{b} long' for b in BITS)}, own int, wide_own array<long>, wide_next array<long>"), "features")
+    return shared_table(texts.mapInArrow(tidy(run), f"node long, n int, features binary, {', '.join(f'{b} long' for b in BITS)}, own int, wide_own array<long>, wide_next array<long>"), "features")
 
 
 def _apart(a: str, b: str):
@@ -279,7 +279,7 @@ def _linked(pairs: DataFrame, features: DataFrame, num: int, den: int) -> DataFr
     pairs = _small(pairs)
     left = features.select(F.col("node").alias("a"), F.col("features").alias("fa")).join(pairs.select("a").distinct(), "a", "left_semi")
     right = features.select(F.col("node").alias("b"), F.col("features").alias("fb")).join(pairs, "b")
-    return right.join(left, "a").select("a", "b", "fa", "fb").mapInArrow(run, "u long, v long")
+    return right.join(left, "a").select("a", "b", "fa", "fb").mapInArrow(tidy(run), "u long, v long")
 
 
 def _buckets(docs: DataFrame, width: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe
-from tessera.llm.common import documents, gapless_rank, prepare, shared_table
+from tessera.llm.common import documents, gapless_rank, prepare, shared_table, tidy
 
 SIZE = 2048
 CLOSING = np.zeros(1, "<u4").tobytes()
@@ -59,7 +59,7 @@ def pieces(df: DataFrame, tokenizer: str, size: int = SIZE, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return slim.mapInArrow(tidy(run, "byte_bpe"), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # --- plan ---------------------------------------------------------------------------------------------------------
@@ -189,7 +189,7 @@ def pack(df: DataFrame, tokenizer: str | None = None, size: int = SIZE, id_col:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(p["base"][k] + nth // p["each"][k]), pa.array(p["at"][k] + nth % p["each"][k] * length)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
     ranked = gapless_rank(cutout, "length", ["doc_id", "piece", "ids_crc32"], max(counts.values(), default=0))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(tidy(run, "byte_bpe"), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

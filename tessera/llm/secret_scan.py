@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.char_cnn import Net, train, windows
-from tessera.llm.common import documents, prepare
+from tessera.llm.common import documents, prepare, tidy
 
 KINDS = ("assign", "access", "hex", "net")
 # The base patterns, what must be in a lower-cased text for the first to match, and the least lengths.
@@ -122,7 +122,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", net: Net
 
     slim = df.select(F.col(id_col), F.col(text_col).alias("_text"))
     own = f"`{id_col}` {slim.schema[0].dataType.simpleString()}"
-    return slim.mapInArrow(run, f"{own}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, top_probability double, span_list array<struct<start: long, end: long, kind: string>>")
+    return slim.mapInArrow(tidy(run), f"{own}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, top_probability double, span_list array<struct<start: long, end: long, kind: string>>")
 
 
 def mask_text(text: str, spans: list[Span], label: str) -> str:
@@ -151,7 +151,7 @@ def mask(df: DataFrame, text_col: str = "text", label: str = "[SECRET]", net: Ne
                 batch = batch.set_column(at, batch.schema.field(at), masked)
             yield batch
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, char_cnn, kd_shards, language_id, license_scan, matroska, ngram_join, packing, secret_scan, sp_model, sp_tokenizer, token_counts, topk_search
+from tessera.llm.common import tidy
 from tessera.llm.components import components
 from tessera.llm.shingles import shingle_sets, words
 
@@ -325,6 +326,31 @@ def test_small_sets_meet_without_a_shared_signature(spark):
     assert max(shared.values()) < 200
 
 
+def test_workers_hold_one_operators_tables(spark):
+    """A worker that has scored languages and packed holds none of these tables while sets are joined, and keeps them from task to task of their own operator."""
+    language_id._scorers["m"] = byte_bpe._loaded["p"] = object()
+    try:
+        for own, left in (("byte_bpe", {"p"}), ("", set())):
+            run = tidy(lambda batches: (set(language_id._scorers) | set(byte_bpe._loaded) for _ in batches), own)
+            assert list(run(iter([0, 0]))) == [left, left]
+    finally:
+        language_id._scorers.pop("m", None)
+        byte_bpe._loaded.pop("p", None)
+    df = docs(spark, ["the cat sat on the mat and went home again"] * 40).repartition(4)
+    model = language_id.fit(df)
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(language_id._scorers)] * batch.num_rows)], ["n"])
+
+    def after(stage, own):
+        assert stage.count() == 40
+        return {r["n"] for r in df.select("doc_id").mapInArrow(tidy(held, own), "n long").collect()}
+
+    assert after(language_id.with_language(df, model, ["doc_id"]), "language_id") <= {0, 1}
+    assert after(language_id.with_language(df, model, ["doc_id"]), "") == {0}
+
+
 def test_lanes_leave_two_rows_of_a_signature():
     rng = np.random.default_rng(9)
     sigs = np.concatenate([np.full(500, 7), rng.integers(0, 400, 300)]).astype(np.int64)
