@@ -18,6 +18,10 @@ from tessera.sources.shared import settled
 from tessera.store import Store
 
 
+#: Pairs that a task compares. Their keys compress so well that partitions joined by their compressed size would hold tens of millions of rows.
+PAIRS_A_TASK = 1_000_000
+
+
 class UniqueViolation(ValueError):
     pass
 
@@ -124,11 +128,22 @@ def duplicates(table: DataFrame, columns: Iterable[str]) -> DataFrame:
 # --- relationships ---
 
 
+def link_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(owner, related, change): pairs that one of two sets of (owner, related) lacks, linked or unlinked; nulls are values.
+
+    The pairs are counted and dealt out once, PAIRS_A_TASK to a task, so a task's memory doesn't grow with them."""
+    both = before.select("owner", "related", F.lit(False).alias("_new")).unionAll(after.select("owner", "related", F.lit(True).alias("_new")))
+    parts = max(1, -(-both.count() // PAIRS_A_TASK))
+    seen = both.repartition(parts, "owner", "related").groupBy("owner", "related").agg(F.bool_and("_new").alias("_added"), F.bool_or("_new").alias("_stays"))
+    change = F.when(F.col("_added"), "linked").when(~F.col("_stays"), "unlinked")
+    return seen.select("owner", "related", change.alias("change")).where(F.col("change").isNotNull())
+
+
 def reconcile(before: DataFrame, after: DataFrame, add_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """(linked, unlinked) between two sets of (owner, related); with add_only nothing is unlinked."""
-    b, a = before.select("owner", "related").distinct(), after.select("owner", "related").distinct()
-    gone = b.join(a, ["owner", "related"], "left_anti")
-    return a.join(b, ["owner", "related"], "left_anti"), gone.limit(0) if add_only else gone
+    changes = link_changes(before, after)
+    on, off = (changes.where(F.col("change") == c).select("owner", "related") for c in ("linked", "unlinked"))
+    return on, off.limit(0) if add_only else off
 
 
 def link_bridge(bridge: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -772,8 +772,7 @@ def nonnull_check(s):
 @query("SELECT o_orderkey AS owner, l_partkey AS related, 'linked' AS change FROM (SELECT DISTINCT l_orderkey AS o_orderkey, l_partkey FROM lineitem WHERE l_linenumber >= 2 EXCEPT SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber <= 3) UNION ALL SELECT *, 'unlinked' FROM (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber <= 3 EXCEPT SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber >= 2)")
 def link_reconcile(s):
     pairs = s.table("LineItem").select(F.col("l_orderkey").alias("owner"), F.col("l_partkey").alias("related"), "l_linenumber")
-    on, off = mutate.reconcile(pairs.where("l_linenumber <= 3"), pairs.where("l_linenumber >= 2"))
-    return on.withColumn("change", F.lit("linked")).unionAll(off.withColumn("change", F.lit("unlinked")))
+    return mutate.link_changes(pairs.where("l_linenumber <= 3"), pairs.where("l_linenumber >= 2"))
 
 
 @query("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 HAVING count(o_orderkey) < 5 OR count(o_orderkey) > 15")

@@ -232,6 +232,18 @@ def test_writes(spark):
     assert more.count() == 2 and mutate.unlink_bridge(more, bridge).count() == 1
 
 
+def test_reconcile_deals_pairs_out(spark, monkeypatch):
+    monkeypatch.setattr(mutate, "PAIRS_A_TASK", 100, raising=False)
+    pairs = spark.range(1_000).select(F.col("id").alias("owner"), F.when(F.col("id") % 50 != 0, F.col("id") % 7).alias("related"))
+    before, after = pairs.where("owner < 600").unionAll(pairs.where("owner < 5")), pairs.where("owner >= 400")
+    on, off = mutate.reconcile(before, after)
+    for found, low, high in ((on, 600, 1_000), (off, 0, 400)):
+        got = found.withColumn("part", F.spark_partition_id()).collect()
+        assert sorted(r["owner"] for r in got) == list(range(low, high))  # a null related is a value, as in SQL's EXCEPT
+        assert len({r["part"] for r in got}) > 4  # 1205 pairs, about 100 to a task
+    assert mutate.reconcile(before, after, add_only=True)[1].isEmpty()
+
+
 def test_violations(spark):
     s = shop(spark)
     s.replace("pet", spark.createDataFrame([("p1", "x", None), ("p1", "y", "gone")], "pk string, name string, owner_pk string"))
