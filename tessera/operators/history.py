@@ -17,10 +17,13 @@ from pyspark.sql import types as T
 
 from tessera.functions.ranks import numbered
 from tessera.functions.scalar import year_of_micros
+from tessera.sources.shared import settled
 
 SCHEMA = "pk long, event string, entity_name string, entity_pk string, property_names string, preserved_values string, timestamp long, author string, store_identifier string"
 DAY = 86_400_000_000
 RETENTION = 30 * DAY
+#: Rows of an archive that a task sorts and writes.
+ROWS_A_TASK = 500_000
 
 
 # --- recording ---
@@ -148,17 +151,26 @@ def archivable(log: DataFrame, now: int, cursors: DataFrame | None = None, reten
 
 
 def archive(log: DataFrame, folder: str, now: int, cursors: DataFrame | None = None, retention: int = RETENTION) -> DataFrame:
-    """Appends archivable rows to the folder, by year, and returns the new cursors."""
+    """Appends archivable rows to the folder, by year, and returns the new cursors, a table of the shared folder.
+
+    Rows are dealt out by ranges of their place in the log, ROWS_A_TASK to a task, so a year of any size is spread."""
     rows = archivable(log, now, cursors, retention)
-    rows.repartition("year").write.mode("append").partitionBy("year").parquet(folder)
-    return merge_cursors(cursors, new_cursors(rows, now))
+    found = settled(_last_rows(rows, now, F.count(F.lit(1)).alias("_n")), "cursors")
+    parts = max(1, -(-(found.agg(F.sum("_n")).first()[0] or 0) // ROWS_A_TASK))
+    rows.repartitionByRange(parts, "year", "timestamp", "pk", "store_identifier").write.mode("append").partitionBy("year").parquet(folder)
+    new = found.drop("_n")
+    return new if cursors is None else settled(merge_cursors(cursors, new), "cursors")
 
 
 def new_cursors(rows: DataFrame, now: int) -> DataFrame:
     """(store_identifier, year, is_complete, cursor_timestamp, cursor_identifier); a year is complete once it has ended."""
+    return _last_rows(rows, now)
+
+
+def _last_rows(rows: DataFrame, now: int, *more: Column) -> DataFrame:
     last = F.max(F.struct("timestamp", "pk"))
     year_now = year_of_micros(F.lit(now).cast("long"))
-    return rows.groupBy("store_identifier", "year").agg(last["timestamp"].alias("cursor_timestamp"), last["pk"].alias("cursor_identifier")).withColumn("is_complete", F.col("year") < year_now)
+    return rows.groupBy("store_identifier", "year").agg(last["timestamp"].alias("cursor_timestamp"), last["pk"].alias("cursor_identifier"), *more).withColumn("is_complete", F.col("year") < year_now)
 
 
 def merge_cursors(old: DataFrame | None, new: DataFrame) -> DataFrame:

@@ -267,6 +267,23 @@ def test_history(spark, tmp_path):
     assert history.due(0, 0, 7 * 3_600_000_000, 0.0)[0]
 
 
+def test_archive_spreads_a_year(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "ROWS_A_TASK", 100, raising=False)
+    tens, none = (F.col("id") - F.col("id") % 10).alias("timestamp"), F.lit(None).cast("string")
+    store = F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("store_identifier")
+    log = spark.range(1_000).select(F.col("id").alias("pk"), F.lit("update").alias("event"), F.lit("E").alias("entity_name"), F.col("id").cast("string").alias("entity_pk"), none.alias("property_names"), none.alias("preserved_values"), tens, F.lit("me").alias("author"), store)
+    folder = str(tmp_path / "archive")
+    kept, cursors = history.maintain(log, folder, now=2_000, retention=1_200)
+    sizes = [r["count"] for r in spark.read.parquet(folder).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 800 and len(sizes) > 4 and max(sizes) < 300  # one year, about 100 rows to a task
+    assert {r["store_identifier"]: (r["cursor_timestamp"], r["cursor_identifier"]) for r in cursors.collect()} == {"even": (790, 798), "odd": (790, 799)}
+    assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()  # the log isn't dealt out by its few stores and years
+    assert sorted(r["pk"] for r in kept.collect()) == list(range(800, 1_000))
+    left, cursors = history.maintain(log, folder, now=9_000, cursors=cursors, retention=1_200)
+    assert left.isEmpty() and sorted(r["pk"] for r in spark.read.parquet(folder).collect()) == list(range(1_000))
+    assert {r["cursor_identifier"] for r in cursors.collect()} == {998, 999}
+
+
 def test_stream_windows_and_parts(spark, tmp_path):
     rows = [(k, "update", "E", str(k % 3), None, None, 1_000_000 * k, "a" if k % 2 else "remote", "s") for k in range(10)]
     spark.createDataFrame(rows, history.SCHEMA).write.parquet(str(tmp_path / "log"))
